@@ -15,8 +15,8 @@ documents' lengths, the checkpoints, and the bits (high bit first).
 
 Tokenizing by pieces: the tokenizer's own splitting never joins across the places where a run of
 white space ends and a word (with the one space before it) begins, so a text's ids are those of
-its pieces, and each distinct piece goes through the library once a worker (kept in a dictionary of
-bounded size). Tests hold this against whole texts.
+its pieces, and each distinct piece goes through the library about once a worker (kept in two
+dictionaries of bounded size). Tests hold this against whole texts.
 
 Defined cases: null and empty texts have only the end id; null doc_id sorts first; repeated rows
 and ties of doc_id are documents like others, ordered by their ids' bytes; an empty table gives
@@ -26,11 +26,14 @@ has a block of its own.
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -38,50 +41,137 @@ from pyspark.sql import Window
 from lattica.llm.common import Scratch, bound_arrow, map_batches
 
 EVERY = 64
-CACHE = 300_000  # pieces a worker keeps
+CACHE = 500_000  # pieces in each half of what a worker keeps
+TOGETHER = 16 << 20  # bytes of text encoded at once
 LONG_PIECE = 64  # characters; longer pieces are not kept
 #: White space as Unicode defines it, which is what the tokenizer's pattern means by \s.
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 
+#: Texts whose white space isn't just single spaces and one or two line breaks between other characters.
+_IRREGULAR = "\x00|  | \n|\n |\n\n\n|^[ \n]|[ \n]$|[\t\x0b-\r\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 class PieceEncoder:
-    """Text to ids as little-endian bytes, through the tokenizers library, piece by piece."""
+    """Text to ids as little-endian bytes, through the tokenizers library, piece by piece.
+
+    A batch's texts are split and their pieces numbered by Arrow; only pieces that the worker
+    hasn't met go through the library, many at a time, one a line: a lone line break between two
+    pieces is always one id, and no piece of other characters holds that id. Texts of irregular
+    white space are split by PIECES instead. A tokenizer that doesn't split as byte-level BPE does
+    gets whole texts.
+    """
 
     def __init__(self, tokenizer_path: str, width: int, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.kind, self.end, self.known = f"<u{width}", int(end_id).to_bytes(width, "little"), {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [PIECES.findall(t) if t else [] for t in texts]
-        known = self.known
-        new = list(set().union(*split).difference(known))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[piece] = np.array(got.ids, self.kind).tobytes()
-        out = [b"".join(map(known.__getitem__, pieces)) + self.end for pieces in split]
-        if len(known) > CACHE:
-            known.clear()
-        else:
-            for piece in new:
-                if len(piece) > LONG_PIECE:
-                    del known[piece]
+        made = json.loads(self.tokenizer.to_str())
+        splitting = made["pre_tokenizer"] or {}
+        self.by_piece = made["normalizer"] is None and (splitting.get("type"), splitting.get("use_regex"), splitting.get("add_prefix_space")) == ("ByteLevel", True, False)
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if self.by_piece else None
+        self.width, self.kind, self.end = width, f"<u{width}", int(end_id).to_bytes(width, "little")
+        self.known, self.before = {}, {}
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, from what is known or the library."""
+        known, before = self.known, self.before
+        out = list(map(known.get, pieces))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        if before and new:
+            for i in new:
+                if (ids := before.get(pieces[i])) is not None:
+                    out[i] = known[pieces[i]] = ids
+            new = [i for i in new if out[i] is None]
+        blank = [i for i in new if not pieces[i] or pieces[i].isspace() or "\n" in pieces[i]]
+        for i, ids in zip(blank, self._encoded([pieces[i] for i in blank]), strict=True):
+            out[i] = known[pieces[i]] = np.array(ids, self.kind).tobytes()
+        rest = [i for i in new if out[i] is None]
+        lots = [rest[i : i + 512] for i in range(0, len(rest), 512)]
+        w = self.width
+        for lot, ids in zip(lots, self._encoded(["\n".join([pieces[i] for i in lot]) for lot in lots]), strict=True):
+            ids = np.array(ids, self.kind)
+            cuts = np.flatnonzero(ids == self.line) * w
+            if len(cuts) != len(lot) - 1:
+                raise ValueError("the tokenizer joins pieces across lines")
+            data, ends = ids.tobytes(), [*cuts.tolist(), len(ids) * w]
+            a = 0
+            for i, b in zip(lot, ends, strict=True):
+                out[i] = data[a:b]
+                if len(pieces[i]) <= LONG_PIECE:
+                    known[pieces[i]] = out[i]
+                a = b + w
+        if len(known) > CACHE:  # what is in use comes back from the older half
+            self.before, self.known = known, {}
         return out
 
+    def _regular(self, texts: pa.Array) -> list[bytes]:
+        """Pieces are parted by spaces; one that begins with NUL has no space before it."""
+        marked = pc.binary_join_element_wise(pa.scalar("\x00"), pc.replace_substring(texts, "\n", " \n \x00"), "")
+        split = pc.split_pattern(marked, " ")
+        numbered = split.values.dictionary_encode()
+        pieces = [p[1:] if p[:1] == "\x00" else p if p == "\n" else " " + p for p in numbered.dictionary.to_pylist()]
+        ids = self._ids_of(pieces)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        at = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        pool = np.frombuffer(b"".join(ids), self.kind)
+        order = numbered.indices.to_numpy()
+        n = sizes[order]
+        ends = np.cumsum(n)
+        got = pool[np.repeat(at[order] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = np.concatenate(([0], ends))[split.offsets.to_numpy()] * self.width
+        cuts = cuts.tolist()
+        return [got[a:b] + self.end for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _irregular(self, texts: list[str]) -> list[bytes]:
+        split = [PIECES.findall(t) for t in texts]
+        pieces = list(set().union(*split))
+        ids = dict(zip(pieces, self._ids_of(pieces), strict=True))
+        return [b"".join([ids[p] for p in found]) + self.end for found in split]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        if not self.by_piece:
+            return [np.array(ids, self.kind).tobytes() + self.end for ids in self._encoded([t or "" for t in texts.to_pylist()])]
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring_regex(texts, _IRREGULAR), pc.equal(pc.binary_length(texts), 0))
+        regular = iter(self._regular(texts.filter(pc.invert(odd))))
+        irregular = iter(self._irregular(texts.filter(odd).to_pylist()))
+        return [next(irregular if o else regular) for o in odd.to_pylist()]
+
+
+@functools.cache
+def _encoder(tokenizer_path: str, width: int, end_id: int) -> PieceEncoder:
+    """One a worker process, for all its tasks."""
+    return PieceEncoder(tokenizer_path, width, end_id)
+
+
+def _gathered(batches, size: int):
+    """Batches put together to about ``size`` bytes, so that a piece is looked up once in more texts."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, total = [], 0
+    if total:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
 
 def _tokenizing(tokenizer_path: str, width: int, end_id: int, bounds: list[int]):
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, edges = PieceEncoder(tokenizer_path, width, end_id), np.array(bounds, np.int64)
-        for batch in batches:
+        encoder, edges = _encoder(tokenizer_path, width, end_id), np.array(bounds, np.int64)
+        for batch in _gathered(batches, TOGETHER):
             ids = batch.column(0)
             part = np.searchsorted(edges, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
-            yield pa.RecordBatch.from_arrays([ids, pa.array(part.astype(np.int32)), pa.array(encoder.encode(batch.column(1).to_pylist()), pa.binary())], names=["doc_id", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(part.astype(np.int32)), pa.array(encoder.encode(batch.column(1)), pa.binary())], names=["doc_id", "part", "ids"])
 
     return run
 
@@ -167,11 +257,11 @@ class CanonicalCode:
         code[self.ids], length[self.ids] = self.codes, self.lengths
         return code, length
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
+    def table(self) -> np.ndarray:
+        """Id and, in the low byte, length of the code that a string of ``longest`` bits begins with."""
         spans = np.left_shift(1, self.longest - self.lengths)
-        ids, lengths = np.repeat(self.ids, spans).astype(np.uint32), np.repeat(self.lengths, spans).astype(np.uint8)
-        rest = (1 << self.longest) - len(ids)
-        return np.pad(ids, (0, rest)), np.pad(lengths, (0, rest), constant_values=1)
+        entries = np.repeat((self.ids << 8 | self.lengths).astype(np.uint32), spans)
+        return np.pad(entries, (0, (1 << self.longest) - len(entries)), constant_values=1)
 
 
 def pack_block(ids: np.ndarray, lengths: list[int], code: np.ndarray, bits: np.ndarray) -> bytes:
@@ -190,7 +280,7 @@ def pack_block(ids: np.ndarray, lengths: list[int], code: np.ndarray, bits: np.n
     return b"HUF1" + head.tobytes() + np.array(lengths, "<u4").tobytes() + marks.tobytes() + stream
 
 
-def unpack_block(payload: bytes, table: tuple[np.ndarray, np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray]:
+def unpack_block(payload: bytes, table: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """(lengths of documents, all ids)."""
     if payload[:4] != b"HUF1":
         raise ValueError("not a block of token ids")
@@ -199,14 +289,14 @@ def unpack_block(payload: bytes, table: tuple[np.ndarray, np.ndarray], longest:
     at = np.frombuffer(payload, "<u4", marks, 24 + 4 * docs).astype(np.int64)
     stream = np.frombuffer(payload + bytes(8), np.uint8, size + 8, 24 + 4 * docs + 4 * marks).astype(np.uint32)
     window = (stream[:-3] << 24) | (stream[1:-2] << 16) | (stream[2:-1] << 8) | stream[3:]
-    ids, used = table
     out = np.zeros((marks, every), np.uint32)
     full, mask = n // every, np.uint32((1 << longest) - 1)
     for step in range(every):
         lanes = full + (n % every > step)
         key = (window[at[:lanes] >> 3] >> (32 - longest - (at[:lanes] & 7)).astype(np.uint32)) & mask
-        out[:lanes, step] = ids[key]
-        at[:lanes] += used[key]
+        out[:lanes, step] = got = table[key]
+        at[:lanes] += got & 255
+    out >>= 8
     return lengths, out.reshape(-1)[:n] if n % every == 0 else np.concatenate((out[:full].reshape(-1), out[full, : n % every]))
 
 
@@ -256,7 +346,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     bounds = sorted(set(docs.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     tokens = map_batches(docs, _tokenizing(tokenizer_path, width, end_id, [int(b) for b in bounds]), "doc_id long, part int, ids binary")
     sorted_ = tokens.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), "ids")
-    blocks = scratch.save(map_batches(sorted_, _blocking(width, block_ids), "part int, block int, start long, doc_ids array<long>, lengths array<int>, ids binary"), "blocks")
+    blocks = scratch.save(map_batches(sorted_, _blocking(width, block_ids), "part int, block int, start long, doc_ids array<long>, lengths array<int>, ids binary"), "blocks", "none")
     counts = map_batches(blocks.select("ids"), _counting(width, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     lengths = code_lengths({r["id"]: r["n"] for r in counts.collect()}, max_length)  # a row for each id of the vocabulary at most
     spark.createDataFrame([(k, v) for k, v in lengths.items()], "id long, length int").coalesce(1).write.mode("overwrite").parquet(f"{path}/code")
