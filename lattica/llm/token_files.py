@@ -41,8 +41,8 @@ from pyspark.sql import Window
 from lattica.llm.common import Scratch, bound_arrow, map_batches
 
 EVERY = 64
-CACHE = 500_000  # pieces in each half of what a worker keeps
-TOGETHER = 16 << 20  # bytes of text encoded at once
+CACHE = 250_000  # pieces in each half of what a worker keeps
+TOGETHER = 10 << 20  # bytes of text encoded at once
 LONG_PIECE = 64  # characters; longer pieces are not kept
 #: White space as Unicode defines it, which is what the tokenizer's pattern means by \s.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -208,6 +208,7 @@ def _blocking(width: int, block_ids: int):
 
 def _counting(width: int, vocabulary: int):
     def run(batches):
+        _encoder.cache_clear()
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for ids in batch.column(0).to_pylist():
@@ -302,6 +303,7 @@ def unpack_block(payload: bytes, table: np.ndarray, longest: int) -> tuple[np.nd
 
 def _packing(code_of, width: int, vocabulary: int):
     def run(batches):
+        _encoder.cache_clear()  # this worker may have tokenized before
         code, bits = code_of.value.encoder(vocabulary)
         for batch in batches:
             rows = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
@@ -313,6 +315,7 @@ def _packing(code_of, width: int, vocabulary: int):
 
 def _unpacking(code_of, with_ids: bool):
     def run(batches):
+        _encoder.cache_clear()
         code = code_of.value
         table = code.table()
         for batch in batches:
