@@ -41,8 +41,8 @@ from pyspark.sql import Window
 from lattica.llm.common import Scratch, bound_arrow, map_batches
 
 EVERY = 64
-CACHE = 250_000  # pieces in each half of what a worker keeps
-TOGETHER = 10 << 20  # bytes of text encoded at once
+CACHE = 320_000  # pieces in each half of what a worker keeps
+TOGETHER = 8 << 20  # bytes of text encoded at once
 LONG_PIECE = 64  # characters; longer pieces are not kept
 #: White space as Unicode defines it, which is what the tokenizer's pattern means by \s.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -91,10 +91,10 @@ class PieceEncoder:
         for i, ids in zip(blank, self._encoded([pieces[i] for i in blank]), strict=True):
             out[i] = known[pieces[i]] = np.array(ids, self.kind).tobytes()
         rest = [i for i in new if out[i] is None]
-        lots = [rest[i : i + 512] for i in range(0, len(rest), 512)]
         w = self.width
-        for lot, ids in zip(lots, self._encoded(["\n".join([pieces[i] for i in lot]) for lot in lots]), strict=True):
-            ids = np.array(ids, self.kind)
+        for i in range(0, len(rest), 512):
+            lot = rest[i : i + 512]
+            ids = np.array(self._encoded(["\n".join([pieces[i] for i in lot])])[0], self.kind)
             cuts = np.flatnonzero(ids == self.line) * w
             if len(cuts) != len(lot) - 1:
                 raise ValueError("the tokenizer joins pieces across lines")
@@ -119,13 +119,16 @@ class PieceEncoder:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
         at = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         pool = np.frombuffer(b"".join(ids), self.kind)
-        order = numbered.indices.to_numpy()
-        n = sizes[order]
-        ends = np.cumsum(n)
-        got = pool[np.repeat(at[order] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        cuts = np.concatenate(([0], ends))[split.offsets.to_numpy()] * self.width
-        cuts = cuts.tolist()
-        return [got[a:b] + self.end for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        order, offsets, out = numbered.indices.to_numpy(), split.offsets.to_numpy(), []
+        for i in range(0, len(texts), 256):
+            first = offsets[i : i + 257]
+            some = order[first[0] : first[-1]]
+            n = sizes[some]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            got = pool[np.repeat(at[some] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+            cuts = (ends[first - first[0]] * self.width).tolist()
+            out += [got[a:b] + self.end for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
 
     def _irregular(self, texts: list[str]) -> list[bytes]:
         split = [PIECES.findall(t) for t in texts]
