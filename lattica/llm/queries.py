@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, mixing, pii, quality, sharding, token_files, url_filter
+from lattica.llm import decontaminate, jaccard_join, mixing, pii, quality, sharding, token_files, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_files": token_files.op7_token_files,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_pii": pii.op9_pii,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
@@ -18,5 +19,6 @@ ORACLE_SQL = {
     "op2_url_filter": url_filter.SQL,
     "op5_sharding": sharding.SQL,
     "op6_mixing": mixing.SQL,
+    "op8_jaccard_join": jaccard_join.SQL,
     "op10_decontamination": decontaminate.SQL,
 }

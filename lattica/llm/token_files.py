@@ -41,7 +41,7 @@ from pyspark.sql import Window
 from lattica.llm.common import Scratch, bound_arrow, map_batches
 
 EVERY = 64
-CACHE = 320_000  # pieces in each half of what a worker keeps
+CACHE = 420_000  # pieces in each half of what a worker keeps
 TOGETHER = 8 << 20  # bytes of text encoded at once
 LONG_PIECE = 64  # characters; longer pieces are not kept
 #: White space as Unicode defines it, which is what the tokenizer's pattern means by \s.
@@ -175,6 +175,7 @@ def _tokenizing(tokenizer_path: str, width: int, end_id: int, bounds: list[int])
             ids = batch.column(0)
             part = np.searchsorted(edges, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
             yield pa.RecordBatch.from_arrays([ids, pa.array(part.astype(np.int32)), pa.array(encoder.encode(batch.column(1)), pa.binary())], names=["doc_id", "part", "ids"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -257,7 +258,7 @@ class CanonicalCode:
         self.codes = np.right_shift(np.concatenate(([0], ends[:-1]))[: len(self.ids)], self.longest - self.lengths)
 
     def encoder(self, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-        code, length = np.zeros(vocabulary, np.uint64), np.zeros(vocabulary, np.int64)
+        code, length = np.zeros(vocabulary, np.uint32), np.zeros(vocabulary, np.uint8)
         code[self.ids], length[self.ids] = self.codes, self.lengths
         return code, length
 
@@ -270,9 +271,9 @@ class CanonicalCode:
 
 def pack_block(ids: np.ndarray, lengths: list[int], code: np.ndarray, bits: np.ndarray) -> bytes:
     size = bits[ids]
-    end = np.cumsum(size)
+    end = np.cumsum(size, dtype=np.int64)
     at = end - size
-    value = code[ids] << (64 - (at & 31) - size).astype(np.uint64)
+    value = code[ids].astype(np.uint64) << (64 - (at & 31) - size).astype(np.uint64)
     word = at >> 5
     out = np.zeros(int(end[-1] >> 5) + 2, np.uint32)
     first = np.flatnonzero(np.diff(word, prepend=-1))
