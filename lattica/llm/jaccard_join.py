@@ -12,8 +12,8 @@ too. ``bound`` is where the counted cost of both sides is least. Rarity is the c
 all shingles of all documents: it only decides an order, so its collisions cost time and no link.
 
 Links, not all pairs: the product is components. In each round every list names one centre (by a
-hash that differs by round), and members outside the centre's component are verified against it by
-exact intersection; a group of copies of any size thus costs a pair for each member, not for each
+hash that differs by round), and members outside the centre's component are verified against it (by
+a bitmap bound, then by exact intersection); a group of copies of any size thus costs a pair for each member, not for each
 two. Lists whose members are one component by then are finished. The others' remaining pairs, of
 different components and possible sizes, are all verified at the end, so no link is lost.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import Scratch, map_batches, partitions
 from lattica.llm.components import components
-from lattica.llm.words import WordHashes, mixed, rolled
+from lattica.llm.words import mixed, rolled, word_hashes
 
 WORDS = 5
 SKETCH = 1 << 20  # counters
@@ -51,37 +51,36 @@ def needed(s: int, t: int) -> int:
     return -(-3 * (s + t) // 7)
 
 
-def shingles(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    words = text.lower().split() if text else []  # bytes: only A-Z change
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hashes.of(words)
-    if len(h) < WORDS:
-        return rolled(np.concatenate((h, np.full(1, len(h), np.uint64))), len(h) + 1)
-    return np.unique(rolled(h, WORDS))
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+    """The sorted shingle hashes of each text."""
+    out = []
+    for h in word_hashes([t and t.lower() for t in texts]):  # of bytes: only A-Z change
+        if 0 < len(h) < WORDS:
+            h = rolled(np.concatenate((h, np.full(1, len(h), np.uint64))), len(h) + 1)
+        else:
+            h = np.unique(rolled(h, WORDS))
+        out.append(h)
+    return out
+
+
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64)
 
 
 def _measuring(batches):
     """Size and digest of each set, and at the end the task's sketch."""
-    hashes, sketch, digits = WordHashes(), np.zeros(SKETCH, np.uint32), None
+    sketch, any_row = np.zeros(SKETCH, np.uint32), False
+    names = ["doc_id", "n", "digest", "place", "counts"]
     for batch in batches:
-        sizes, digests = [], []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text, hashes)
-            sizes.append(len(s))
-            digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            if len(s):
-                sketch += np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=SKETCH).astype(np.uint32) if len(s) > SKETCH else 0
-                if len(s) <= SKETCH:
-                    np.add.at(sketch, (s >> np.uint64(44)).astype(np.int64), 1)
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "digest", "place", "counts"])
-        digits = True
-    if digits:
+        sets, n, any_row = shingle_sets(batch.column(1).to_pylist()), batch.num_rows, True
+        for i in range(0, n, 2000):
+            sketch += np.bincount(counter_of(np.concatenate([np.zeros(0, np.uint64), *sets[i : i + 2000]])), minlength=SKETCH).astype(np.uint32)
+        digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+    if any_row:
         step = SKETCH // SPARE
         parts = [sketch[i * step : (i + 1) * step].tobytes() for i in range(SPARE)]
-        none = pa.nulls(SPARE, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.nulls(SPARE, pa.int32()), pa.nulls(SPARE, pa.binary()), pa.array(range(SPARE), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "digest", "place", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(SPARE, pa.int64()), pa.nulls(SPARE, pa.int32()), pa.nulls(SPARE, pa.binary()), pa.array(range(SPARE), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
 
 def _adding(batches):
@@ -147,18 +146,17 @@ def _listing(order_of, bound: int):
     """Rows (key, doc_id, n, at): at is the shingle's place in the set's order, -1 for a subset."""
 
     def run(batches):
-        hashes, order = WordHashes(), order_of.value
+        order = order_of.value
         for batch in batches:
             keys, ids, sizes, places = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, hashes)
+            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
                 n = len(s)
                 found = []
-                if n <= bound:
+                if 0 < n <= bound:
                     k = subset_keys(s)
                     found.append((k, np.full(len(k), -1, np.int32)))
-                if n >= ceil(0.75 * (bound + 1)):
-                    first = s[np.lexsort((s, order[(s >> np.uint64(44)).astype(np.int64)]))[: prefix_length(n)]]
+                if n and n >= ceil(0.75 * (bound + 1)):
+                    first = s[np.lexsort((s, order[counter_of(s)]))[: prefix_length(n)]]
                     found.append((first, np.arange(len(first), dtype=np.int32)))
                 for k, at in found:
                     keys.append(k)
@@ -192,43 +190,78 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=names)
 
 
-def _gathering_sets(batches):
-    hashes = WordHashes()
+def _outlines(batches):
+    """Set size and bitmap: a bit for each value of the hashes' low bits, at least four times as many as shingles."""
     for batch in batches:
-        sets = [shingles(t, hashes).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "hashes"])
+        out = []
+        for s in shingle_sets(batch.column(1).to_pylist()):
+            bits = max(64, 1 << (4 * len(s) - 1).bit_length())
+            bitmap = np.zeros(bits, np.uint8)
+            bitmap[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
+            out.append(len(s).to_bytes(4, "little") + np.packbits(bitmap).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "data"])
 
 
-def _verifying(batches):
-    """Rows sorted by (a, salt, b nulls first): a centre's own set, then those to compare with it."""
-    at, own = None, None
+def _sets(batches):
     for batch in batches:
-        a_out, b_out = [], []
-        for a, salt, b, data in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-            s = np.frombuffer(data, np.uint64)
-            if b is None:
-                at, own = (a, salt), s
-            elif at != (a, salt):
-                raise ValueError("a centre's set is missing")
-            else:
-                small, big = (s, own) if len(s) < len(own) else (own, s)
-                where = np.searchsorted(big, small)
-                common = int((big[np.minimum(where, len(big) - 1)] == small).sum())
-                if 100 * common >= 75 * (len(s) + len(own) - common):
+        sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "data"])
+
+
+def _enough(common: int, s: int, t: int) -> bool:
+    return 100 * common >= 75 * (s + t - common)
+
+
+def may_link(x: bytes, y: bytes) -> bool:
+    """Whether outlines allow a link. Each bit in which they differ takes a shingle that only one set has."""
+    s, t = int.from_bytes(x[:4], "little"), int.from_bytes(y[:4], "little")
+    a, b = int.from_bytes(x[4:], "little"), int.from_bytes(y[4:], "little")
+    p, q = len(x) - 4, len(y) - 4
+    while p > q:  # fold the finer bitmap: its upper half onto the lower one
+        p //= 2
+        a = (a >> (8 * p)) | (a & ((1 << (8 * p)) - 1))
+    while q > p:
+        q //= 2
+        b = (b >> (8 * q)) | (b & ((1 << (8 * q)) - 1))
+    return _enough((s + t - (a ^ b).bit_count()) // 2, s, t)
+
+
+def links(x: bytes, y: bytes) -> bool:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    small, big = (a, b) if len(a) < len(b) else (b, a)
+    where = np.searchsorted(big, small)
+    return _enough(int((big[np.minimum(where, len(big) - 1)] == small).sum()), len(a), len(b))
+
+
+def _comparing(test):
+    """Rows sorted by (a, salt, b nulls first): a centre's own data, then those to compare with it."""
+
+    def run(batches):
+        at, own = None, None
+        for batch in batches:
+            a_out, b_out = [], []
+            for a, salt, b, data in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if b is None:
+                    at, own = (a, salt), data
+                elif at != (a, salt):
+                    raise ValueError("a centre's data is missing")
+                elif test(own, data):
                     a_out.append(a)
                     b_out.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+    return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones of distinct pairs (a, b). A centre's many partners are dealt to places by salt, each with the centre's set."""
+def compare(pairs: DataFrame, data: DataFrame, test) -> DataFrame:
+    """The distinct pairs (a, b) whose data pass the test. A centre's many partners are dealt to places by salt, each with the centre's data."""
     n = partitions(pairs)
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SET_ROWS).cast("int").alias("salts"))
     others = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    others = others.join(sets, others["b"] == sets["id"]).select("a", "salt", "b", "hashes")
-    own = counts.join(sets, counts["a"] == sets["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "hashes")
+    others = others.join(data, others["b"] == data["id"]).select("a", "salt", "b", "data")
+    own = counts.join(data, counts["a"] == data["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "data")
     rows = others.unionByName(own).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return map_batches(rows, _verifying, "a long, b long")
+    return map_batches(rows, _comparing(test), "a long, b long")
 
 
 def _possible(x: str, y: str) -> str:
@@ -257,8 +290,18 @@ def link_components(docs: DataFrame, rounds: int = 4, id_col: str = "doc_id", te
     lists = map_batches(firsts, _listing(order, bound), "key long, id long, n int, at int")
     lists = scratch.save(map_batches(lists.repartition(n, "key").sortWithinPartitions("key"), _shared, "key long, id long, n int, at int"), "lists")
     linked = scratch.save(lists.select("id").distinct(), "linked")
-    sets = scratch.save(map_batches(firsts.join(_small(linked.withColumnRenamed("id", "doc_id"), broadcast_rows), "doc_id", "left_semi"), _gathering_sets, "id long, hashes binary").dropDuplicates(["id"]), "sets", "none")
-    links = spark.createDataFrame([], "a long, b long")
+    of = lambda ids: firsts.join(_small(ids.toDF("doc_id"), broadcast_rows), "doc_id", "left_semi")
+    outlines = scratch.save(map_batches(of(linked), _outlines, "id long, data binary"), "outlines")
+
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        """Exact on what the outlines leave; the sets of those alone are made."""
+        near = scratch.save(compare(pairs, outlines, may_link), f"near-{name}")
+        ids = near.select("a").unionByName(near.select(F.col("b").alias("a"))).distinct()
+        found = scratch.save(compare(near, map_batches(of(ids), _sets, "id long, data binary"), links), f"links-{name}")
+        scratch.drop(f"near-{name}")
+        return found
+
+    every = spark.createDataFrame([], "a long, b long")
     roots = linked.select(F.col("id").alias("node"), F.col("id").alias("root"))
     tested, live = None, lists
     for i in range(rounds):
@@ -272,23 +315,23 @@ def link_components(docs: DataFrame, rounds: int = 4, id_col: str = "doc_id", te
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs{i}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = scratch.save(verify(pairs, sets), f"links{i}")
+        new = verify(pairs, str(i))
         live = live.drop("c", "root")
         if i:
             scratch.drop(f"live{i - 1}")
         if new.isEmpty():
             break
-        links = links.unionByName(new)
-        roots = _rooted(linked, links, scratch, f"round{i}-")
+        every = every.unionByName(new)
+        roots = _rooted(linked, every, scratch, f"round{i}-")
     # What is left: pairs of different components in lists that still hold several.
     left = live.join(roots, live["id"] == roots["node"]).select("key", "id", "n", "at", "root")
     x, y = left.alias("x"), left.alias("y")
     rest = x.join(y, F.expr("x.key = y.key and x.id < y.id and x.root <> y.root and " + _possible("x", "y"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     done = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = scratch.save(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    last = scratch.save(verify(rest, sets), "last")
+    last = verify(rest, "last")
     if not last.isEmpty():
-        roots = _rooted(linked, links.unionByName(last), scratch, "final-")
+        roots = _rooted(linked, every.unionByName(last), scratch, "final-")
     out = members.join(roots, members["class_id"] == roots["node"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 

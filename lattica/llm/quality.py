@@ -30,14 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.llm.common import Scratch, bound_arrow, map_batches
-from lattica.llm.words import WordHashes, mixed
+from lattica.llm.words import mixed, word_hashes
 
 _PAIR, _REPEAT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x5851F42D4C957F2D)
 
 
-def features(text: bytes | None, hashes: WordHashes, buckets: int) -> np.ndarray:
+def features(words: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of each word, in the lower half of the buckets, then of each pair, in the upper half."""
-    words = hashes.of(text.split()) if text else np.zeros(0, np.uint64)
     pairs = mixed(words[:-1] * _PAIR + words[1:])
     pairs[words[:-1] == words[1:]] = _REPEAT
     half = np.uint64(buckets // 2)
@@ -46,10 +45,10 @@ def features(text: bytes | None, hashes: WordHashes, buckets: int) -> np.ndarray
 
 def _counting(buckets: int, kinds: int):
     def run(batches):
-        hashes, total = WordHashes(), np.zeros((kinds, buckets), np.int32)
+        total = np.zeros((kinds, buckets), np.int32)
         for batch in batches:
-            for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, n = np.unique(features(text, hashes, buckets), return_counts=True)
+            for kind, words in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist()), strict=True):
+                found, n = np.unique(features(words, buckets), return_counts=True)
                 total[kind, found] += n.astype(np.int32)
         kind, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[kind, bucket].astype(np.int64))], names=["kind", "bucket", "n"])
@@ -120,11 +119,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, buckets: int
 
 def _weighing(model, text_at: int, lang_at: int | None, buckets: int):
     def run(batches):
-        hashes, ratio = WordHashes(), model.value
+        ratio = model.value
         for batch in batches:
             texts = batch.column(text_at).cast(pa.binary()).to_pylist()
             langs = batch.column(lang_at).cast(pa.string()).to_pylist() if lang_at is not None else [None] * len(texts)
-            weights = [ratio.log_posterior(lang, features(t, hashes, buckets)) for lang, t in zip(langs, texts, strict=True)]
+            weights = [ratio.log_posterior(lang, features(t, buckets)) for lang, t in zip(langs, word_hashes(texts), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, pa.float64())], names=[*batch.schema.names, "__log_weight"])
 
     return run

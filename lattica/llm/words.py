@@ -1,27 +1,18 @@
-"""Word hashes for the operators that work on n-grams: NumPy over a batch of whole texts."""
+"""Word hashes for the operators that work on n-grams: NumPy over whole texts, many at a time."""
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import xxhash
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    """Word (bytes) to a 64-bit hash; bounded, as common words make up most of any text."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        out = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        if len(self) > self.LIMIT:
-            self.clear()
-        return out
+_BASE = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2^64
+_GROUP = 1 << 18  # bytes hashed at once
+_LONG = 1 << 16  # bytes; longer words are hashed one by one
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -39,3 +30,71 @@ def rolled(words: np.ndarray, n: int, factor: np.uint64 = _ODD) -> np.ndarray:
     for k in range(n):
         h = h * factor + words[k : len(words) - n + 1 + k]
     return mixed(h)
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    def of(base: int) -> np.ndarray:
+        out = np.full(_GROUP + 2 * _LONG + 1, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    return of(_BASE), of(pow(_BASE, -1, 1 << 64))
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of at most _GROUP + 2 * _LONG bytes."""
+    a = np.frombuffer(data, np.uint8)
+    space = _SPACE[a]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate(([0], edges))
+    if not space[-1]:
+        edges = np.concatenate((edges, [len(a)]))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers()
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a + np.uint64(1)) * up[: len(a)], dtype=np.uint64)))
+    return starts, mixed((sums[ends] - sums[starts]) * down[starts])
+
+
+def _long_text(text: bytes) -> np.ndarray:
+    """The words of a text of any length, in groups; a word over _LONG bytes is hashed by itself."""
+    out, group, size = [], [], 0
+    for word in text.split():
+        if len(word) > _LONG or size > _GROUP:
+            if group:
+                out.append(_hashed(b" ".join(group))[1])
+            group, size = [], 0
+        if len(word) > _LONG:
+            out.append(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64))
+        else:
+            group.append(word)
+            size += len(word) + 1
+    if group:
+        out.append(_hashed(b" ".join(group))[1])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def word_hashes(texts: list[bytes | None]) -> list[np.ndarray]:
+    """For each text a 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, in order."""
+    out: list = [None] * len(texts)
+    group, size = [], 0
+
+    def flush() -> None:
+        starts, h = _hashed(b"\n".join([texts[i] for i in group]))
+        cuts = np.searchsorted(starts, np.cumsum([len(texts[i]) + 1 for i in group]))
+        for i, a, b in zip(group, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            out[i] = h[a:b]
+
+    for i, text in enumerate(texts):
+        if not text or len(text) > _LONG:
+            out[i] = _long_text(text or b"")
+            continue
+        group.append(i)
+        size += len(text) + 1
+        if size > _GROUP:
+            flush()
+            group, size = [], 0
+    if group:
+        flush()
+    return out
