@@ -8,13 +8,15 @@ Light side: two linked sets share a subset of exactly c shingles, so each set of
 shingles names all its c-subsets, for each c that a partner could ask for. Heavy side: larger sets
 enter inverted lists with the first s - ceil(0.75 s) + 1 of their shingles, the rarest first, which
 two linked sets can't miss each other in; small sets large enough to have a large partner enter
-too. ``bound`` is where the counted cost of both sides is least. Rarity is the count in a sketch of
-all shingles of all documents: it only decides an order, so its collisions cost time and no link.
+too. ``bound`` is where the counted cost of both sides is least. Rarity is a count in a sketch, over
+all documents, of the shingles that an order by hash alone would put first: passages that many
+documents share are found there and move to the end. It only decides an order, the same for all
+sets, so collisions in the sketch cost time and no link.
 
 Links, not all pairs: the product is components. In each round every list names one centre (by a
-hash that differs by round), and members outside the centre's component are verified against it (by
-a bitmap bound, then by exact intersection); a group of copies of any size thus costs a pair for each member, not for each
-two. Lists whose members are one component by then are finished. The others' remaining pairs, of
+hash that differs by round), and each member picks one centre outside its component, from the third
+round on one in each other component, to be verified against (by a bitmap bound, then by exact
+intersection); a group of copies of any size thus costs a pair for each member, not for each two. Lists whose members are one component by then are finished. The others' remaining pairs, of
 different components and possible sizes, are all verified at the end, so no link is lost.
 
 Defined cases: null or empty text, or one without words, has size 0, is linked with nothing and is
@@ -39,7 +41,7 @@ from lattica.llm.components import components
 from lattica.llm.words import mixed, rolled, word_hashes
 
 WORDS = 5
-SKETCH = 1 << 20  # counters
+SKETCH = 1 << 22  # counters
 SPARE = 64  # rows of the sketch that travel as one
 MOST_LIGHT = 16  # sets beyond this size have too many subsets at any cost
 _SUBSET = np.uint64(0xA0761D6478BD642F)
@@ -64,7 +66,7 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
 
 
 def counter_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(44)).astype(np.int64)
+    return (mixed(hashes) >> np.uint64(42)).astype(np.int64)
 
 
 def _measuring(batches):
@@ -73,8 +75,9 @@ def _measuring(batches):
     names = ["doc_id", "n", "digest", "place", "counts"]
     for batch in batches:
         sets, n, any_row = shingle_sets(batch.column(1).to_pylist()), batch.num_rows, True
-        for i in range(0, n, 2000):
-            sketch += np.bincount(counter_of(np.concatenate([np.zeros(0, np.uint64), *sets[i : i + 2000]])), minlength=SKETCH).astype(np.uint32)
+        for s in sets:
+            if len(s):  # sets are sorted by hash: the shingles that would stand first if all were as rare
+                np.add.at(sketch, counter_of(s[: prefix_length(len(s))]), 1)
         digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     if any_row:
@@ -109,7 +112,10 @@ def rarity(sketches: DataFrame) -> np.ndarray:
     step = SKETCH // SPARE
     for row in rows.collect():  # 4 MB, whatever the input
         out[row["place"] * step : (row["place"] + 1) * step] = np.frombuffer(row["counts"], np.uint32)
-    return np.ceil(np.log2(out + np.float32(1)) * 2).astype(np.uint8)
+    # Counts that chance alone explains are one class: shingles outside the counted prefixes have no other.
+    mean = float(out.mean())
+    usual = mean + 4 * mean**0.5 + 2
+    return np.ceil(np.log2(np.maximum(out, usual) / usual) * 2).astype(np.uint8)
 
 
 def light_cost(s: int) -> int:
@@ -309,10 +315,12 @@ def link_components(docs: DataFrame, rounds: int = 4, id_col: str = "doc_id", te
         turn = F.xxhash64("id", F.lit(i)) if i else F.col("id")
         centres = with_root.groupBy("key").agg(F.min_by(F.struct("id", "n", "at", "root"), turn).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "c")
         live = scratch.save(with_root.join(centres, "key"), f"live{i}")
-        pairs = live.where("root <> c.root").where(_possible("live", "c").replace("live.", "")).select(F.col("c.id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+        pairs = live.where("root <> c.root").where(_possible("live", "c").replace("live.", "")).select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.root").alias("to"))
         if tested is not None:
             done = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = pairs.distinct().join(done, ["a", "b"], "left_anti")
+        turn = F.xxhash64("a", F.lit(i)) if i else F.col("a")
+        pairs = pairs.groupBy("b", *(["to"] if i > 1 else [])).agg(F.min_by("a", turn).alias("a")).select("a", "b")
         pairs = scratch.save(pairs, f"pairs{i}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = verify(pairs, str(i))
