@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, jaccard_join, mixing, pii, quality, sharding, token_files, url_filter
+from lattica.llm import decontaminate, jaccard_join, mixing, neighbours, pii, quality, sharding, substring_dedup, token_files, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_quality": quality.op3_quality,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_files": token_files.op7_token_files,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.SQL,
     "op2_url_filter": url_filter.SQL,
     "op5_sharding": sharding.SQL,
     "op6_mixing": mixing.SQL,
