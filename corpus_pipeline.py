@@ -1,10 +1,14 @@
-"""Corpus pipeline: quality, near duplicates, decontamination, mixing, token files."""
+"""Corpus pipeline: quality, near duplicates, decontamination, mixing, token files.
+
+Each stage works on all rows that the one before it kept, and all but the last return the columns
+of documents. Nulls, empty tables and repeated rows are handled as each operator's docstring says.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 
-from lattica.llm import decontaminate, mixing, quality, token_files
+from lattica.llm import decontaminate, jaccard_join, mixing, quality, token_files
 from lattica.llm.common import Scratch, table
 
 
@@ -13,6 +17,11 @@ def keep_quality(spark, docs, sf_dir):
     return quality.resample(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
 
 
+def keep_one_of_each_group(spark, docs, sf_dir):
+    """Of each group of near duplicates (similarity 0.75 of 5-word shingles) the document with the smallest doc_id."""
+    return jaccard_join.keep_one(docs)
+
+
 def keep_clean(spark, docs, sf_dir):
     """Documents without any benchmark window; the others go."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -30,6 +39,7 @@ def write_tokens(spark, docs, sf_dir):
 
 STAGES = [
     ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_each_group),
     ("benchmark decontamination", keep_clean),
     ("mixing sources to target weights", mix_sources),
     ("token-ID / binary output", write_tokens),

@@ -182,7 +182,37 @@ def _naming(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((of, to))), pa.array(np.concatenate((np.zeros(len(of), np.int64), turn + 1))), pa.array(np.concatenate((to, of)))], names=["node", "turn", "other"])
 
 
-def _introducing(most: int):
+def _bucket(node: np.ndarray, buckets: int) -> np.ndarray:
+    return ((node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _shrink(state, found, most: int):
+    """The ``most`` best distinct w of each v, sorted by v."""
+    v, w, s = (np.concatenate([old, *new]) for old, new in zip(state, found, strict=True))
+    order = np.lexsort((w, -s, v))
+    v, w, s = v[order], w[order], s[order]
+    new = np.concatenate((np.ones(min(1, len(v)), bool), (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
+    v, w, s = v[new], w[new], s[new]
+    rank = np.arange(len(v)) - np.searchsorted(v, v)
+    return v[rank < most], w[rank < most], s[rank < most]
+
+
+def _collecting(batches):
+    """A bucket's introductions, packed by the blocks that made them: the best K of each of its nodes."""
+    for _, rows in _groups(batches, 1):
+        state, found, held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)), [[], [], []], 0
+        for i in range(rows.num_rows):
+            for out, column, kind in zip(found, rows.columns[1:], (np.int64, np.int64, np.float32), strict=True):
+                out.append(np.frombuffer(column[i].as_py(), kind))
+            held += len(found[0][-1])
+            if held > 2_000_000:
+                state, found, held = _shrink(state, found, K), [[], [], []], 0
+        v, w, s = _shrink(state, found, K)
+        cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)] if len(v) else [0]
+        yield _node_rows(v[cuts[:-1]], [(w[a:b], s[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _introducing(most: int, buckets: int):
     """A block's rows: names (node, other) and then vectors (other, its worst score, v). Better introductions, by vector."""
 
     def run(batches):
@@ -200,15 +230,6 @@ def _introducing(most: int):
             held = 0
             state = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
 
-            def shrink(state, found):
-                v, w, s = (np.concatenate([old, *new]) for old, new in zip(state, found, strict=True))
-                order = np.lexsort((w, -s, v))
-                v, w, s = v[order], w[order], s[order]
-                new = np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
-                v, w, s = v[new], w[new], s[new]
-                rank = np.arange(len(v)) - np.searchsorted(v, v)
-                return v[rank < most], w[rank < most], s[rank < most]
-
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 p = np.unique(place[a:b])
                 if len(p) < 2:
@@ -223,10 +244,15 @@ def _introducing(most: int):
                 found[2].append(s[i, j])
                 held += len(i)
                 if held > 1_000_000:
-                    state, found, held = shrink(state, found), [[], [], []], 0
-            v, w, s = shrink(state, found)
-            cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)] if len(v) else [0]
-            yield _node_rows([ids[v[a]] for a in cuts[:-1]], [(ids[w[a:b]], s[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                    state, found, held = _shrink(state, found, most), [[], [], []], 0
+            v, w, s = _shrink(state, found, most)
+            v, w = ids[v], ids[w]
+            bucket = _bucket(v, buckets)
+            order = np.argsort(bucket, kind="stable")
+            v, w, s, bucket = v[order], w[order], s[order], bucket[order]
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(v)] if len(v) else [0]
+            packed = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x in (v, w, s)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), *[pa.array(x, pa.binary()) for x in packed]], names=["bucket", "v", "w", "s"])
 
     return run
 
@@ -266,7 +292,8 @@ def build_graph(nodes: DataFrame, scratch: Scratch, trees: int = 4, rounds: int
             wanted.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("node"), "other", "worst", "v")
         )
         rows = rows.repartition(max(n_parts, min(blocks, 10 * n_parts)), "block").sortWithinPartitions("block", "kind", "node", "other")
-        better = map_batches(rows, _introducing(24), _NODES)
+        packed = map_batches(rows, _introducing(24, blocks), "bucket int, v binary, w binary, s binary")
+        better = map_batches(packed.repartition(max(n_parts, min(blocks, 10 * n_parts)), "bucket").sortWithinPartitions("bucket"), _collecting, _NODES)
         graph = scratch.save(merge_lists(graph.unionByName(better)), f"graph{i}", "none")
         scratch.drop(f"names{i}", f"graph{i - 1}")
     return graph
