@@ -1,14 +1,5 @@
 """All queries of the library, with their SQL."""
 
-from __future__ import annotations
+from lattica.plans.queries import ORACLE_SQL, QUERIES, flagship
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue per return flag, placeholder until the fusion queries land."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
