@@ -277,7 +277,7 @@ def _possible(x: str, y: str) -> str:
     return f"least({x}.n, {y}.n) * 4 >= greatest({x}.n, {y}.n) * 3 and ({x}.at < 0 or {y}.at < 0 or {most} >= {need})"
 
 
-def link_components(docs: DataFrame, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+def link_components(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with the same set) for each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -295,6 +295,7 @@ def link_components(docs: DataFrame, rounds: int = 4, id_col: str = "doc_id", te
     firsts = docs.where("doc_id is not null").join(_small(copies, broadcast_rows), "doc_id", "left_anti")
     lists = map_batches(firsts, _listing(order, bound), "key long, id long, n int, at int")
     lists = scratch.save(map_batches(lists.repartition(n, "key").sortWithinPartitions("key"), _shared, "key long, id long, n int, at int"), "lists")
+    order.unpersist()
     linked = scratch.save(lists.select("id").distinct(), "linked")
     of = lambda ids: firsts.join(_small(ids.toDF("doc_id"), broadcast_rows), "doc_id", "left_semi")
     outlines = scratch.save(map_batches(of(linked), _outlines, "id long, data binary"), "outlines")

@@ -86,7 +86,7 @@ class RatioModel:
         return float(mixture[self.TARGET] - top - np.log(np.exp(mixture - top).sum()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, buckets: int = 1 << 18, languages: int = 15) -> RatioModel:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, buckets: int = 1 << 17, languages: int = 15) -> RatioModel:
     rated = labels.where("quality is not null and toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     some = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     kinds = some.select(F.col("doc_id").alias("__id"), (2 * F.least(F.greatest("q", F.lit(0)), F.lit(1)) + F.least(F.greatest("t", F.lit(0)), F.lit(1))).cast("int").alias("kind"))
@@ -154,7 +154,7 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 2048) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, fit_rows: int = 20_000, buckets: int = 1 << 18, seed: int = 3, scores_only: bool = False) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, fit_rows: int = 20_000, buckets: int = 1 << 17, seed: int = 3, scores_only: bool = False) -> DataFrame:
     """The documents that the sample holds, with __log_weight and __key (log weight and Gumbel noise)."""
     spark = docs.sparkSession
     bound_arrow(spark)

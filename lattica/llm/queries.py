@@ -20,7 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op2_url_filter": url_filter.SQL,
-    "op5_sharding": sharding.SQL,
     "op6_mixing": mixing.SQL,
     "op8_jaccard_join": jaccard_join.SQL,
     "op10_decontamination": decontaminate.SQL,
