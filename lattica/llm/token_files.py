@@ -87,7 +87,7 @@ class PieceEncoder:
                 if (ids := before.get(pieces[i])) is not None:
                     out[i] = known[pieces[i]] = ids
             new = [i for i in new if out[i] is None]
-        blank = [i for i in new if not pieces[i] or pieces[i].isspace() or "\n" in pieces[i]]
+        blank = [i for i in new if not pieces[i] or pieces[i].isspace()]
         for i, ids in zip(blank, self._encoded([pieces[i] for i in blank]), strict=True):
             out[i] = known[pieces[i]] = np.array(ids, self.kind).tobytes()
         rest = [i for i in new if out[i] is None]
@@ -180,17 +180,22 @@ def _tokenizing(tokenizer_path: str, width: int, end_id: int, bounds: list[int])
     return run
 
 
-def _blocking(width: int, block_ids: int):
-    """Sorted documents of a part to blocks of them."""
+def _blocking(width: int, block_ids: int, vocabulary: int):
+    """Sorted documents of a part to blocks of them, and at the end a row with the task's counts of ids."""
+    columns = ["part", "block", "start", "doc_ids", "lengths", "ids", "seen", "counts"]
 
     def run(batches):
+        _encoder.cache_clear()  # this worker may have tokenized before
         part, block, start, names, parts, size = None, 0, 0, [], [], 0
+        total = np.zeros(vocabulary, np.int64)
 
         def flush():
-            lengths = [len(x) // width for x in parts]
+            nonlocal total
+            lengths, ids = [len(x) // width for x in parts], b"".join(parts)
+            total += np.bincount(np.frombuffer(ids, f"<u{width}"), minlength=vocabulary)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([b"".join(parts)], pa.binary())],
-                names=["part", "block", "start", "doc_ids", "lengths", "ids"],
+                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([ids], pa.binary()), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int64()))],
+                names=columns,
             )
 
         for batch in batches:
@@ -206,19 +211,10 @@ def _blocking(width: int, block_ids: int):
                 size += len(ids)
         if parts:
             yield flush()
-
-    return run
-
-
-def _counting(width: int, vocabulary: int):
-    def run(batches):
-        _encoder.cache_clear()
-        total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(ids, f"<u{width}"), minlength=vocabulary)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
+        if len(seen):
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, k) for k in kinds], pa.array([seen], pa.list_(pa.int32())), pa.array([total[seen]], pa.list_(pa.int64()))], names=columns)
 
     return run
 
@@ -271,7 +267,7 @@ class CanonicalCode:
 
 def pack_block(ids: np.ndarray, lengths: list[int], code: np.ndarray, bits: np.ndarray) -> bytes:
     size = bits[ids]
-    end = np.cumsum(size, dtype=np.int64)
+    end = np.cumsum(size, dtype=np.int32 if len(ids) < 1 << 26 else np.int64)
     at = end - size
     value = code[ids].astype(np.uint64) << (64 - (at & 31) - size).astype(np.uint64)
     word = at >> 5
@@ -353,12 +349,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     bounds = sorted(set(docs.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     tokens = map_batches(docs, _tokenizing(tokenizer_path, width, end_id, [int(b) for b in bounds]), "doc_id long, part int, ids binary")
     sorted_ = tokens.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), "ids")
-    blocks = scratch.save(map_batches(sorted_, _blocking(width, block_ids), "part int, block int, start long, doc_ids array<long>, lengths array<int>, ids binary"), "blocks", "none")
-    counts = map_batches(blocks.select("ids"), _counting(width, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    blocks = scratch.save(map_batches(sorted_, _blocking(width, block_ids, vocabulary), "part int, block int, start long, doc_ids array<long>, lengths array<int>, ids binary, seen array<int>, counts array<long>"), "blocks", "none")
+    counts = blocks.select(F.explode(F.arrays_zip("seen", "counts")).alias("x")).groupBy(F.col("x.seen").alias("id")).agg(F.sum("x.counts").alias("n"))
     lengths = code_lengths({r["id"]: r["n"] for r in counts.collect()}, max_length)  # a row for each id of the vocabulary at most
     spark.createDataFrame([(k, v) for k, v in lengths.items()], "id long, length int").coalesce(1).write.mode("overwrite").parquet(f"{path}/code")
     code = spark.sparkContext.broadcast(CanonicalCode(lengths))
-    packed = map_batches(blocks, _packing(code, width, vocabulary), "part int, block int, start long, n_ids long, doc_ids array<long>, payload binary")
+    packed = map_batches(blocks.where("part is not null").drop("seen", "counts"), _packing(code, width, vocabulary), "part int, block int, start long, n_ids long, doc_ids array<long>, payload binary")
     packed.write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
     scratch.drop("blocks")
 
