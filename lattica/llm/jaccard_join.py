@@ -308,7 +308,6 @@ def link_components(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", te
         scratch.drop(f"near-{name}")
         return found
 
-    every = spark.createDataFrame([], "a long, b long")
     roots = linked.select(F.col("id").alias("node"), F.col("id").alias("root"))
     tested, live = None, lists
     for i in range(rounds):
@@ -330,8 +329,7 @@ def link_components(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", te
             scratch.drop(f"live{i - 1}")
         if new.isEmpty():
             break
-        every = every.unionByName(new)
-        roots = _rooted(linked, every, scratch, f"round{i}-")
+        roots = _rooted(linked, _tied(roots).unionByName(new), scratch, f"round{i}-")
     # What is left: pairs of different components in lists that still hold several.
     left = live.join(roots, live["id"] == roots["node"]).select("key", "id", "n", "at", "root")
     x, y = left.alias("x"), left.alias("y")
@@ -340,7 +338,7 @@ def link_components(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", te
     rest = scratch.save(rest.join(done, ["a", "b"], "left_anti"), "rest")
     last = verify(rest, "last")
     if not last.isEmpty():
-        roots = _rooted(linked, every.unionByName(last), scratch, "final-")
+        roots = _rooted(linked, _tied(roots).unionByName(last), scratch, "final-")
     out = members.join(roots, members["class_id"] == roots["node"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
@@ -350,6 +348,11 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def _tied(roots: DataFrame) -> DataFrame:
+    """Components so far as edges: each node with its root."""
+    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def _rooted(nodes: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     found = components(links, scratch, name)
     return scratch.save(nodes.join(found, nodes["id"] == found["node"], "left").select(F.col("id").alias("node"), F.coalesce("root", "id").alias("root")), f"{name}roots")
