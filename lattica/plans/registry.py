@@ -1,5 +1,6 @@
 """All queries of the library, with their SQL."""
 
+from lattica.plans import notation as _notation  # noqa: F401  registers its queries
 from lattica.plans.queries import ORACLE_SQL, QUERIES, flagship
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
