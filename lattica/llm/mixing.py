@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame functions only.
 
-Slot ``i`` of the mix is the point ``frac(i * golden ratio)``; the cumulative target shares cut
-[0, 1) into one interval a source, and the slot goes to the source whose interval holds its point,
-so that every prefix of the mix is near the targets. A source's documents, shuffled by a keyed
+Slot ``i`` of the mix is the point ``frac(i * golden ratio)``; the cumulative shares of the slots
+that each source needs for its target cut [0, 1) into one interval a source, and the slot goes to
+the source whose interval holds its point, so that every prefix of the mix is near the targets;
+slots that a source still lacks after the last point are appended. A source's documents, shuffled by a keyed
 hash, lie end to end as one stream of words, cut into blocks of ``block`` words; the source's
 ``r``-th slot takes its ``r``-th block, starting over after the last one, until the source's
 target is reached. What a document gives is what slots take of its range of the stream.
@@ -59,18 +60,32 @@ def source_targets(sizes: DataFrame, most: int = 3, share: float = 1.0) -> DataF
 
 
 def schedule(targets: DataFrame, block: int) -> DataFrame:
-    """source_no, r (rank of the slot in its source), for slots until every source has reached its target."""
+    """source_no, id, r (rank of the slot in its source), for slots until every source has reached its target.
+
+    Sources share the points by the slots they need, so that all finish together although last
+    blocks are broken. What the points leave missing of a source follows after them, in turns.
+    """
     spark = targets.sparkSession
-    words, sources = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*")).first()
+    goal = F.floor("target").cast("long")
+    t = targets.where("source_size > 0").select("source_no", "source_size", goal.alias("goal"))
+    full, rest = F.expr("goal div source_size"), F.col("goal") % F.col("source_size")
+    t = t.withColumn("need", (full * F.ceil(F.col("source_size") / F.lit(block)) + F.ceil(rest / F.lit(block))).cast("long")).where("need > 0").select("source_no", "need")
+    needed, sources, highest = t.agg(F.coalesce(F.sum("need"), F.lit(0)), F.count("*"), F.coalesce(F.max("source_no"), F.lit(0))).first()
     one = Window.partitionBy(F.lit(0)).orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = targets.where("target > 0").withColumn("hi", F.sum("target").over(one) / F.lit(words)).withColumn("lo", F.coalesce(F.lag("hi").over(Window.partitionBy(F.lit(0)).orderBy("source_no")), F.lit(0.0)))
+    upto = F.sum("need").over(one)
+    ends = t.withColumn("hi", upto / F.lit(needed)).withColumn("lo", (upto - F.col("need")) / F.lit(needed))
     cells = ends.select("source_no", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.col("hi") * CELLS))).alias("cell"))
-    # A source of share p gets p * n + O(log n) of n slots, and needs one more for its broken last block.
-    n = int(words / block * 1.02) + 64 * (int(sources) + 1)
+    # A source of share p gets p * n + O(log n) of n slots.
+    n = int(needed * 1.02) + 64 * (sources + 1)
     point = F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))
     slots = spark.range(0, n, 1, partitions(targets)).withColumn("u", point).withColumn("cell", F.floor(F.col("u") * CELLS))
     slots = slots.join(cells, "cell").where("u >= lo and u < hi").select("source_no", "id")
-    return prefix_sums(slots, [F.col("source_no")], F.floor(F.col("id") / 4096), [F.col("id")], {"r": F.lit(1).cast("long")})
+    ranked = prefix_sums(slots, [F.col("source_no")], F.floor(F.col("id") / 4096), [F.col("id")], {"r": F.lit(1).cast("long")})
+    ranked = ranked.join(t, "source_no").where("r < need").select("source_no", "id", "r")
+    got = t.join(slots.groupBy("source_no").agg(F.count("*").alias("got")), "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long")))
+    missing = got.where("got < need").select("source_no", "got", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("r"))
+    after = F.lit(n) + (F.col("r") - F.col("got")) * (highest + 1) + F.col("source_no")
+    return ranked.unionByName(missing.select("source_no", after.cast("long").alias("id"), "r"))
 
 
 def mix(docs: DataFrame, block: int = 1024, most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False) -> DataFrame:

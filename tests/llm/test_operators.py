@@ -165,6 +165,22 @@ def test_mixing(spark, docs):
 ODD = [(5, None), (7, ""), (9, "a  b\n\n c\t d e  x \x1c y \x85z"), (3, "<|endoftext|> a <|endoftext|>b"), (11, "don't  I'll 'x 12 4,5"), (2, "\U0001f600 é́ x\n\n\ny"), (21, " "), (22, "x" * 5000 + " " + "y " * 3000), (-4, "\n\r\n a"), (30, "a\nb\n\nc d"), (34, "a\u00a0b\u3000c"), (None, "n"), (30, "a\nb\n\nc d")]
 
 
+@pytest.mark.parametrize("sizes", [[200, 40_000], [1, 3, 17, 90_000, 250]])
+def test_mixing_tiny_sources(spark, sizes):
+    rows = [(100 * i + j, " ".join(["w"] * (n // 4 + (n % 4 if j == 0 else 0))), "en", f"s{i}", 0) for i, n in enumerate(sizes) for j in range(4)]
+    block = 8 if len(sizes) > 2 else 1024
+    filler = [(10_000 + i, "w w w", "en", f"t{i}", 0) for i in range(20)] if block == 1024 else []
+    got = {}
+    for r in mixing.mix(spark.createDataFrame(rows + filler, DOCS), block=block).collect():
+        source = r.doc_id if r.doc_id >= 10_000 else r.doc_id // 100
+        goal, taken = got.get(source, (0, 0))
+        got[source] = int(r.target), taken + r.taken
+    assert all(goal == taken for goal, taken in got.values()), got
+    sized = spark.createDataFrame([("a", 100, 1, 300.0), ("b", 10**9, 2, 10.0**9)], "source string, source_size long, source_no int, target double")
+    slots = mixing.schedule(sized, 1024).where("source_no = 1").collect()
+    assert sorted(r.r for r in slots) == [0, 1, 2]
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
