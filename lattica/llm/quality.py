@@ -2,16 +2,17 @@
 
 Features of a text are its words and word pairs (a word after itself is one feature, whatever the
 word), hashed to ``buckets``. The target model is fitted to labelled documents of good quality
-that aren't toxic. Raw text is modelled as a mixture of such models, one for each combination of
-labels, weighted by their shares: junk and abuse leave different traces, and one bag of words for
-all raw text would hide a few abusive words under many ordinary ones. A document's weight is the
+that aren't toxic. The raw model counts every document, whole. Raw text is the mixture of that model
+and of one for each combination of labels, weighted by their shares: junk and abuse leave different
+traces, and one bag of words for all raw text would hide a few abusive words under many ordinary
+ones; what is like no labelled kind is left to the raw model. A document's weight is the
 ratio of the two models times the target's share, which is also the probability that the document
 is from the target. Gumbel noise makes the k largest perturbed log weights a sample without
 replacement in proportion to the weights. k is the expected number of target documents, the sum of
 all documents' weights, unless given.
 
-Models are fitted on at most ``fit_rows`` labelled documents (the smallest by hash of their id; a
-documented bound), all else is computed over every document and whole texts. Models are by
+Models of labels are fitted on at most ``fit_rows`` labelled documents (the smallest by hash of
+their id; a documented bound), all else is computed over every document and whole texts. Models are by
 language for the ``languages`` most frequent ones, and one for all others.
 
 Defined cases: null or empty text has log weight 0, as all models give it the same probability,
@@ -44,36 +45,46 @@ def features(words: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _counting(buckets: int, kinds: int):
+    """Sums of a task, in rows of place (kind * buckets + bucket) and n."""
+
     def run(batches):
-        total = np.zeros((kinds, buckets), np.int32)
+        total = np.zeros((kinds, buckets), np.int64)
         for batch in batches:
-            for kind, words in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist()), strict=True):
-                found, n = np.unique(features(words, buckets), return_counts=True)
-                total[kind, found] += n.astype(np.int32)
-        kind, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[kind, bucket].astype(np.int64))], names=["kind", "bucket", "n"])
+            of = batch.column(0).to_numpy()
+            found = [features(words, buckets) for words in word_hashes(batch.column(1).to_pylist())]
+            for kind in np.unique(of):
+                total[kind] += np.bincount(np.concatenate([found[i] for i in np.flatnonzero(of == kind)]), minlength=buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], names=["at", "n"])
 
     return run
 
 
 class RatioModel:
-    """For each language, log ratios of each kind's bucket probability to the language's, shrunk to 0.
+    """Log ratios of bucket probabilities, by language: of each kind to the labelled sample, and of the sample to raw text, shrunk to 0.
 
+    ``raw``: counts over all documents of a language, labelled or not; a text's own words are taken
+    out of them when it is weighed, as it would be likely under itself. The second ratio is the same
+    for all kinds and sets them against raw text as a part of the mixture of its own, for what is
+    like no labelled kind; no label of n having shown such a text, its share is 1 / (n + 1).
     Languages are told apart as their shares differ between kinds: every word of a text would
     repeat that difference. ``prior``: counts added to each word's and each pair's bucket.
     """
 
     TARGET = 2  # kind = 2 * quality + toxic
 
-    def __init__(self, languages: dict, counts: np.ndarray, documents: np.ndarray, prior: tuple[float, float] = (4.0, 500.0)):
+    def __init__(self, languages: dict, counts: np.ndarray, documents: np.ndarray, raw: np.ndarray, prior: tuple[float, float] = (4.0, 500.0)):
         self.languages, buckets = languages, counts.shape[2]
-        added = np.repeat(np.array(prior, np.float32), buckets // 2)
+        self.added = np.repeat(np.array(prior, np.float32), buckets // 2)
         self.log_ratio = np.empty(counts.shape, np.float32)
         for of, c in zip(self.log_ratio, counts, strict=True):
             pooled = c.sum(axis=0) / max(1, c.sum())
-            of[:] = np.log((c + added) / (c.sum(axis=1, keepdims=True) * pooled + added))
+            of[:] = np.log((c + self.added) / (c.sum(axis=1, keepdims=True) * pooled + self.added))
+        self.sample, self.raw = counts.sum(axis=1).astype(np.float32), raw.astype(np.float32)
+        self.sample_size, self.raw_size = counts.sum(axis=(1, 2)), raw.sum(axis=1)
+        n = documents.sum(axis=1, keepdims=True)
         with np.errstate(divide="ignore"):
-            self.log_share = np.log(documents / np.maximum(1, documents.sum(axis=1, keepdims=True)))
+            self.log_share = np.log(np.concatenate((documents, np.ones_like(n)), axis=1) / (n + 1))
         self.fitted = documents[:, self.TARGET] > 0
 
     def log_posterior(self, language, found: np.ndarray) -> float:
@@ -81,7 +92,11 @@ class RatioModel:
         at = self.languages.get(language, 0)
         if not self.fitted[at] or not len(found):
             return 0.0
-        mixture = self.log_ratio[at][:, found].sum(axis=1, dtype=np.float64) + self.log_share[at]
+        found, times = np.unique(found, return_counts=True)
+        others = np.maximum(self.raw[at, found] - times, 0) / max(1, self.raw_size[at] - times.sum())
+        added = self.added[found]
+        to_raw = np.log((self.sample[at, found] + added) / (self.sample_size[at] * others + added)) @ times
+        mixture = np.append(self.log_ratio[at][:, found] @ times.astype(np.float64) + to_raw, 0.0) + self.log_share[at]
         top = mixture.max()
         return float(mixture[self.TARGET] - top - np.log(np.exp(mixture - top).sum()))
 
@@ -92,10 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, buckets: int
     kinds = some.select(F.col("doc_id").alias("__id"), (2 * F.least(F.greatest("q", F.lit(0)), F.lit(1)) + F.least(F.greatest("t", F.lit(0)), F.lit(1))).cast("int").alias("kind"))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     # At most fit_rows ids of 12 bytes: broadcasting them keeps the texts where they are.
-    texts = Scratch(docs.sparkSession, "quality-fit").save(
-        docs.select(F.col("doc_id").alias("__id"), lang.alias("lang"), F.col("text").cast("binary").alias("text")).join(F.broadcast(kinds), "__id").drop("__id"), "texts"
-    )
-    shares = texts.groupBy("lang").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"k{k}") for k in range(4)])
+    rows = docs.select(F.col("doc_id").alias("__id"), lang.alias("lang"), F.col("text").cast("binary").alias("text")).join(F.broadcast(kinds), "__id", "left")
+    shares = rows.where("kind is not null").groupBy("lang").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"k{k}") for k in range(4)])
+    shares = Scratch(docs.sparkSession, "quality-fit").save(shares, "shares")
     common = shares.orderBy(F.expr("k0 + k1 + k2 + k3").desc(), F.col("lang").asc_nulls_last()).limit(languages).collect()
     # Place 0 is for languages that aren't among the common ones, and fitted on all rows.
     places = {row["lang"]: i + 1 for i, row in enumerate(common)}
@@ -107,14 +121,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, buckets: int
     place = F.lit(0)
     for language, i in places.items():
         place = F.when(F.col("lang").eqNullSafe(F.lit(language)), i).otherwise(place)
-    rows = texts.select((place * 4 + F.col("kind")).cast("int").alias("kind"), "text")
-    sums = map_batches(rows, _counting(buckets, 4 * len(documents)), "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.select("kind", "bucket", F.col("n").cast("int").alias("n")).toArrow()  # at most 4 * (languages + 1) * buckets rows, as fit_rows bounds the texts
-    counts = np.zeros((4 * len(documents), buckets), np.int64)
-    counts[got["kind"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
-    counts = counts.reshape(len(documents), 4, buckets)
+    # Every document is counted once, those without a label in the sample as a fifth kind.
+    rows = rows.select((place * 5 + F.coalesce("kind", F.lit(4))).cast("int").alias("kind"), "text")
+    sums = map_batches(rows, _counting(buckets, 5 * len(documents)), "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    got = sums.toArrow()  # at most 5 * (languages + 1) * buckets rows, whatever the input
+    counts = np.zeros(5 * len(documents) * buckets)
+    counts[got["at"].to_numpy()] = got["n"].to_numpy()
+    counts = counts.reshape(len(documents), 5, buckets)
     counts[0] = counts.sum(axis=0)
-    return RatioModel(places, counts, documents)
+    return RatioModel(places, counts[:, :4], documents, counts.sum(axis=1))
 
 
 def _weighing(model, text_at: int, lang_at: int | None, buckets: int):

@@ -100,6 +100,22 @@ def test_quality_edges(spark, docs):
     assert quality.select_scores(docs.limit(0), some).count() == 0
 
 
+def test_quality_counts_unlabelled_text(spark):
+    rng = random.Random(4)
+
+    def text(letter):
+        return " ".join(f"{letter}{rng.randrange(40)}" for _ in range(80))
+
+    kinds = [("g", 1, 0), ("b", 0, 0)]  # u: junk that no label shows
+    rows = [(i, text("g" if i < 400 else "b" if i < 500 else "u"), "en", "s", 0) for i in range(900)]
+    labels = [(i, *kinds[i >= 400][1:]) for i in range(500) if i % 4 == 0]
+    frame = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.select_scores(*frame).collect()}
+    assert sum(i < 400 for i in kept) > 380 and sum(i >= 400 for i in kept) < 10
+    model = quality.fit(*frame)
+    assert model.raw_size[model.languages["en"]] == sum(2 * 80 - 1 for _ in rows)
+
+
 @pytest.mark.parametrize("k", [0, 1, 7, 500, 999, 1000, 2000])
 def test_kth_largest(spark, k):
     values = [float((i * 7919) % 331) for i in range(1000)]
