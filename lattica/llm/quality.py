@@ -12,8 +12,9 @@ replacement in proportion to the weights. k is the expected number of target doc
 all documents' weights, unless given.
 
 Models of labels are fitted on at most ``fit_rows`` labelled documents (the smallest by hash of
-their id; a documented bound), all else is computed over every document and whole texts. Models are by
-language for the ``languages`` most frequent ones, and one for all others.
+their id; a documented bound), all else is computed over every document and whole texts. Models are
+by language for the ``languages`` most frequent ones, and one for all others, each smoothed with
+what the other languages' labels show.
 
 Defined cases: null or empty text has log weight 0, as all models give it the same probability,
 and null doc_id counts as any other id; a doc_id labelled more than once is toxic if any label
@@ -68,29 +69,39 @@ class RatioModel:
     for all kinds and sets them against raw text as a part of the mixture of its own, for what is
     like no labelled kind; no label of n having shown such a text, its share is 1 / (n + 1).
     Languages are told apart as their shares differ between kinds: every word of a text would
-    repeat that difference. ``prior``: counts added to each word's and each pair's bucket.
+    repeat that difference. Place 0 is for all rarer languages together. ``prior``: counts added to
+    each word's and each pair's bucket, at the ratio that the other languages show of a kind's count
+    to the one expected there from their sizes; a language trusts it the less the more labels of the
+    kind it has, as buckets hold other words elsewhere. ``share_prior``: documents added to a
+    language's at the shares of all languages. A language without labels of a kind thus takes the
+    others' word.
     """
 
     TARGET = 2  # kind = 2 * quality + toxic
 
-    def __init__(self, languages: dict, counts: np.ndarray, documents: np.ndarray, raw: np.ndarray, prior: tuple[float, float] = (4.0, 500.0)):
+    def __init__(self, languages: dict, counts: np.ndarray, documents: np.ndarray, raw: np.ndarray, prior: tuple[float, float] = (4.0, 500.0), share_prior: float = 20.0):
         self.languages, buckets = languages, counts.shape[2]
         self.added = np.repeat(np.array(prior, np.float32), buckets // 2)
         self.log_ratio = np.empty(counts.shape, np.float32)
-        for of, c in zip(self.log_ratio, counts, strict=True):
-            pooled = c.sum(axis=0) / max(1, c.sum())
-            of[:] = np.log((c + self.added) / (c.sum(axis=1, keepdims=True) * pooled + self.added))
         self.sample, self.raw = counts.sum(axis=1).astype(np.float32), raw.astype(np.float32)
         self.sample_size, self.raw_size = counts.sum(axis=(1, 2)), raw.sum(axis=1)
-        n = documents.sum(axis=1, keepdims=True)
+        for kind in range(counts.shape[1]):
+            c = counts[:, kind]
+            expected = c.sum(axis=1, keepdims=True) * (self.sample / np.maximum(1, self.sample_size)[:, None])
+            elsewhere = (c.sum(axis=0) - c + self.added) / (expected.sum(axis=0) - expected + self.added)
+            trust = share_prior / (share_prior + documents[:, kind, None])
+            self.log_ratio[:, kind] = np.log((c + self.added * elsewhere**trust) / (expected + self.added))
+        total = documents.sum(axis=0)
+        n = total.sum()
+        shares = (documents + share_prior * total / max(1, n)) / (documents.sum(axis=1, keepdims=True) + share_prior)
         with np.errstate(divide="ignore"):
-            self.log_share = np.log(np.concatenate((documents, np.ones_like(n)), axis=1) / (n + 1))
-        self.fitted = documents[:, self.TARGET] > 0
+            self.log_share = np.log(np.concatenate((shares * n, np.ones((len(shares), 1))), axis=1) / (n + 1))
+        self.fitted = total[self.TARGET] > 0
 
     def log_posterior(self, language, found: np.ndarray) -> float:
         """Log of the target's share of the mixture at a text; 0 where there is nothing to tell by."""
         at = self.languages.get(language, 0)
-        if not self.fitted[at] or not len(found):
+        if not self.fitted or not len(found):
             return 0.0
         found, times = np.unique(found, return_counts=True)
         others = np.maximum(self.raw[at, found] - times, 0) / max(1, self.raw_size[at] - times.sum())
@@ -108,16 +119,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, buckets: int
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     # At most fit_rows ids of 12 bytes: broadcasting them keeps the texts where they are.
     rows = docs.select(F.col("doc_id").alias("__id"), lang.alias("lang"), F.col("text").cast("binary").alias("text")).join(F.broadcast(kinds), "__id", "left")
-    shares = rows.where("kind is not null").groupBy("lang").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"k{k}") for k in range(4)])
+    shares = rows.groupBy("lang").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("kind") == k, 1)).alias(f"k{k}") for k in range(4)])
     shares = Scratch(docs.sparkSession, "quality-fit").save(shares, "shares")
-    common = shares.orderBy(F.expr("k0 + k1 + k2 + k3").desc(), F.col("lang").asc_nulls_last()).limit(languages).collect()
-    # Place 0 is for languages that aren't among the common ones, and fitted on all rows.
+    common = shares.orderBy(F.desc("n"), F.col("lang").asc_nulls_last()).limit(languages).collect()
+    # Place 0 is for languages that aren't among the common ones.
     places = {row["lang"]: i + 1 for i, row in enumerate(common)}
     documents = np.zeros((len(places) + 1, 4), np.int64)
     for row in common:
         documents[places[row["lang"]]] = [row[f"k{k}"] for k in range(4)]
     every = shares.agg(*[F.coalesce(F.sum(f"k{k}"), F.lit(0)) for k in range(4)]).first()
-    documents[0] = list(every)
+    documents[0] = np.array(list(every)) - documents.sum(axis=0)
     place = F.lit(0)
     for language, i in places.items():
         place = F.when(F.col("lang").eqNullSafe(F.lit(language)), i).otherwise(place)
@@ -128,7 +139,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, buckets: int
     counts = np.zeros(5 * len(documents) * buckets)
     counts[got["at"].to_numpy()] = got["n"].to_numpy()
     counts = counts.reshape(len(documents), 5, buckets)
-    counts[0] = counts.sum(axis=0)
     return RatioModel(places, counts[:, :4], documents, counts.sum(axis=1))
 
 

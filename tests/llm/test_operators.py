@@ -116,6 +116,22 @@ def test_quality_counts_unlabelled_text(spark):
     assert model.raw_size[model.languages["en"]] == sum(2 * 80 - 1 for _ in rows)
 
 
+@pytest.mark.parametrize(("lang", "marks"), [("xx", [(1, 0)] * 3), (None, [(1, 0)] * 3), ("xx", [(0, 0)] * 2), ("xx", [])])
+def test_quality_language_lacks_a_kind(spark, lang, marks):
+    rng = random.Random(5)
+
+    def text(prefix, rude):
+        return " ".join([*(f"{prefix}{rng.randrange(50)}" for _ in range(30)), *(f"rude{rng.randrange(5)}" for _ in range(rude))])
+
+    rows = [(i, text("e", 8 * (i % 5 == 0)), "en", "s", 0) for i in range(400)]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(0, 400, 2)] + [(1000 + i, *m) for i, m in enumerate(marks)] + [(399, 0, 0)]
+    rows += [(1000 + i, text("x", 0), lang, "s", 0) for i in range(40)] + [(2000 + i, text("x", 8), lang, "s", 0) for i in range(40)]
+    model = quality.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    weights = {i: np.exp(model.log_posterior(lang, quality.features(word_hashes([t.encode()])[0], 1 << 17))) for i, t, *_ in rows if i >= 1000}
+    toxic, clean = (np.mean([w for i, w in weights.items() if (i >= 2000) == bad]) for bad in (True, False))
+    assert toxic < 0.1 and (clean > 0.5 or (0, 0) in marks), (toxic, clean)
+
+
 @pytest.mark.parametrize("k", [0, 1, 7, 500, 999, 1000, 2000])
 def test_kth_largest(spark, k):
     values = [float((i * 7919) % 331) for i in range(1000)]
