@@ -10,7 +10,7 @@ by hash; a single longer item has a slice of its own). One slice is the usual ca
 documents are scanned slice after slice, each pass adding to the marks that the last one left.
 
 Defined cases: null text has no words (n_words 0, no hit) and a null item text no window; null
-ids pass through (a null item_id never counts); repeated rows are judged each for itself; equal
+ids pass through (items of null item_id hit and count as one item, which the digest leaves out); repeated rows are judged each for itself; equal
 windows of several items count for each; an empty document table gives no row, an empty benchmark
 no hit. Other columns of the documents come along unchanged.
 """
@@ -48,12 +48,12 @@ def _rolled(ids: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 class NGramIndex:
     """The windows of some test items, by length."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], n: int):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], n: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
+        self.windows: dict[int, dict[bytes, set[str | None]]] = {}
         for item, text in items:
             words = words_of(text)
-            if item is None or not words:
+            if not words:
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int32)
             length = min(n, len(words))
@@ -95,7 +95,7 @@ def _scanner(index, text_at: int):
             for w, end in zip(words, ends, strict=True):
                 ids[end - 1 - len(w) : end - 1] = np.fromiter(map(got.vocabulary.get, w, repeat(-1)), np.int32, len(w))
             marks = np.zeros(len(ids) + 1, np.int32)
-            items: dict[int, set[str]] = {}
+            items: dict[int, set[str | None]] = {}
             for start, length, found in got.scan(ids):
                 marks[start] += 1
                 marks[start + length] -= 1
@@ -108,7 +108,7 @@ def _scanner(index, text_at: int):
                     if old_hits[k] is not None:
                         bits = bits | np.unpackbits(np.frombuffer(old_hits[k], np.uint8), count=count).astype(bool)
                     hits.append(np.packbits(bits).tobytes())
-                    names.append(sorted(items[k] | set(old_items[k] or ())))
+                    names.append(sorted(items[k] | set(old_items[k] or ()), key=lambda x: (x is None, x)))
                 else:
                     hits.append(old_hits[k])
                     names.append(old_items[k])
@@ -144,7 +144,7 @@ def _counted(batches):
     for batch in batches:
         hits = [0 if h is None else int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) for h in batch.column(2).to_pylist()]
         items = batch.column(3).to_pylist()
-        digests = [hashlib.sha256(",".join(x or ()).encode()).hexdigest() for x in items]
+        digests = [hashlib.sha256(",".join(i for i in x or () if i is not None).encode()).hexdigest() for x in items]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(hits, pa.int64()), pa.array([len(x or ()) for x in items], pa.int64()), pa.array(digests), pa.array([h > 0 for h in hits])],
             names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],

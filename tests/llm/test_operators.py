@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -323,6 +324,21 @@ def test_decontamination_slices(spark, docs):
     assert decontaminate.report(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_null_item(spark, tmp_path):
+    long = " ".join(f"q{i}" for i in range(14))
+    texts = [f"a {long} b", "x y q1 q2", "some words of item two", long, None, "nothing here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(None, long), (None, "words of item"), (2, "item two"), (3, f"{long} z")]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r for r in decontaminate.op10_decontamination(spark, str(tmp_path)).collect()}
+    assert [(got[i].n_hit, got[i].n_items, got[i].contaminated) for i in range(6)] == [(14, 2, True), (0, 0, False), (4, 2, True), (14, 2, True), (0, 0, False), (0, 0, False)]
+    assert got[2].items_sha256 == hashlib.sha256(b"2").hexdigest()
+    sql = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        sql.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(map(tuple, got.values())) == sorted(sql.execute(decontaminate.SQL).fetchall())
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as C
 
