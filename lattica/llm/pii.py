@@ -119,6 +119,13 @@ _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 #: A run of digits, spelled ones among them, parted by spaces, hyphens or commas; seven or more.
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:{_DIGIT})(?!\w)|[0-9])(?:[ ,.()-]{{0,2}}(?:(?<!\w)(?:{_DIGIT})(?!\w)|[0-9])){{6,}}", re.I)
 _ONE = re.compile(rf"{_DIGIT}|[0-9]", re.I)
+#: Dotted quads with spelled digits, parted by a space or hyphen within a number.
+_NUMBER = rf"(?:(?:{_DIGIT})(?!\w)|[0-9])(?:[ -]?(?:(?<!\w)(?:{_DIGIT})(?!\w)|[0-9])){{0,2}}"
+_SPELLED_IP = re.compile(rf"(?<![\w.]){_NUMBER}(?:(?: dot |\.){_NUMBER}){{3}}(?!\w)", re.I)
+_SPELLED_NUMBER = re.compile(_NUMBER, re.I)
+#: A spoken at before a host with a real dot counts only after a local part that is no plain word.
+_ADDRESS_LIKE = re.compile(r"[A-Za-z0-9]+(?:[._+][A-Za-z0-9]+)+")
+_SPOKEN_AT = re.compile(r"[._+][A-Za-z0-9]+ at [A-Za-z0-9-]+\.[A-Za-z]", re.I)
 _PLUS = re.compile(r"(?<!\w)plus[ ]+(?=[0-9])", re.I)
 _OPEN_AT = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}at[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
 _OPEN_DOT = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|punkt|point|punto)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
@@ -161,6 +168,12 @@ class Rewritten:
                     self.changed[i] = True
 
     def spell(self) -> None:
+        edits = []
+        for m in _SPELLED_IP.finditer(self.text):
+            for d in _SPELLED_NUMBER.finditer(m.group()):
+                if not d.group().isdigit() and any(c.isalpha() for c in m.group()):
+                    edits.append((m.start() + d.start(), m.start() + d.end(), "".join(DIGIT_WORDS.get(w.lower(), w) for w in _ONE.findall(d.group()))))
+        self.replace(edits)
         edits = []
         for m in _SPELLED.finditer(self.text):
             if any(c.isalpha() for c in m.group()):
@@ -174,7 +187,7 @@ class Rewritten:
         edits = []
         for m in _SPOKEN.finditer(self.text):
             dots = [(m.start("host") + d.start(), m.start("host") + d.end(), ".") for d in _SPOKEN_DOT.finditer(m.group("host"))]
-            if m.group("at") == "@" or dots:
+            if m.group("at") == "@" or dots or _ADDRESS_LIKE.fullmatch(m.group("local")):
                 edits += [(m.start("at"), m.end("at"), "@")] * (m.group("at") != "@") + dots
         self.replace(edits)
         self.replace([(m.start() + d.start(), m.start() + d.end(), ".") for m in _IP_DOT.finditer(self.text) for d in _SPOKEN_DOT.finditer(m.group())])
@@ -188,7 +201,7 @@ def disguised(text: str) -> bool:
     if not text.isascii() and not _FOLDABLE.isdisjoint(text):
         return True
     lower = text.lower()
-    if " dot " in lower or _BRACKETED.search(lower):
+    if " dot " in lower or _BRACKETED.search(lower) or (" at " in lower and _SPOKEN_AT.search(lower)):
         return True
     return not _WORD_SET.isdisjoint(re.split(r"[\s,.()-]+", lower))
 

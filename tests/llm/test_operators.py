@@ -306,6 +306,12 @@ def test_pii_disguised(text, found):
     assert [text[a:b] for a, _, b in spans] == ([found] if found else [])
 
 
+@pytest.mark.parametrize(("text", "found"), [("host one nine two dot one six eight dot zero dot one is up", "one nine two dot one six eight dot zero dot one"), ("at one zero.two.3.four", "one zero.two.3.four"), ("mail john.doe at example.com now", "john.doe at example.com"), ("see us at example.com", None), ("one dot two dot three", None), ("nine nine nine dot one dot one dot one", None)])
+def test_pii_spoken(text, found):
+    assert pii.spans_of(text) == [] or found is None
+    assert [text[a:b] for a, _, b in pii.all_spans(text, pii.spans_of(text))] == ([found] if found else [])
+
+
 def test_pii_rows(spark, docs):
     rows = pii.find_pii(docs).collect()
     assert len(rows) == docs.count() and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)
