@@ -9,17 +9,19 @@ one level are compacted into one of the next before the next batch comes, so tha
 logarithmic number of runs. Each run keeps the smallest and largest doc_id of a hash.
 
 Fingerprints that two documents have are only candidates. All windows under them are verified:
-grouped by two independent 64-bit hashes of their whole word sequence and sorted by doc_id, each
-one that an earlier document starts is a repeat. The filter on the way from candidates to windows
+grouped by two 64-bit hashes of their whole word sequence, made of independent hashes of the words,
+and each one that a smaller doc_id starts is a repeat; the smallest is an aggregate, so that copies
+of one window are combined before they move. The filter on the way from candidates to windows
 is a Bloom filter of bounded size; what it lets through in error, verification removes.
 
 Documents with equal words are compacted first: only the smallest doc_id is indexed, and every
 other one is a repeat from end to end (unless shorter than a window).
 
 Defined cases: null or empty text has no words (0, 0, digest of the empty string); repeated rows
-have the same doc_id, which isn't smaller, so neither removes from the other; null doc_id comes
+have the same doc_id, which isn't smaller, so neither removes from the other; rows of one doc_id
+with different texts are judged each by itself, and neither removes from the other; null doc_id comes
 first in order, as smaller than any other; texts shorter than a window lose nothing; an empty table
-gives no row. Very long texts are read whole.
+gives no row; other columns are not read. Very long texts and words are read whole.
 """
 
 from __future__ import annotations
@@ -56,16 +58,16 @@ def window_fingerprints(words: np.ndarray, window: int = WINDOW, gram: int = GRA
 def _measuring(batches):
     for batch in batches:
         counts, digests = [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             words = text.split() if text else []
             counts.append(len(words))
             digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests)], names=["doc_id", "n_words", "sha256"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts, pa.int64()), pa.array(digests)], names=["doc_id", "t", "n_words", "sha256"])
 
 
 def _fingerprinting(batches):
     for batch in batches:
-        found = [np.unique(window_fingerprints(w)) for w in word_hashes(batch.column(1).to_pylist())]
+        found = [np.unique(window_fingerprints(w)) for w in word_hashes(batch.column(2).to_pylist())]
         ids = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(ids)], names=["h", "doc_id"])
 
@@ -123,11 +125,11 @@ def _filtering(bits: int):
     """One bitmap a task, packed, in pieces of 1 MB."""
 
     def run(batches):
-        bitmap = np.zeros(bits, bool)
+        bitmap = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for at in _bits_of(batch.column(0).to_numpy().view(np.uint64), bits):
-                bitmap[at] = True
-        packed, size = np.packbits(bitmap).tobytes(), 1 << 20
+                np.bitwise_or.at(bitmap, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        packed, size = bitmap.tobytes(), 1 << 20
         for i in range(0, len(packed), size):
             yield pa.RecordBatch.from_arrays([pa.array([i // size], pa.int32()), pa.array([packed[i : i + size]], pa.binary())], names=["piece", "bits"])
 
@@ -168,8 +170,9 @@ def _windowing(bloom_of_shared):
         bloom = bloom_of_shared.value
         bits = len(bloom) * 8
         for batch in batches:
-            one, two, ids, places = [], [], [], []
-            for doc, words in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist()), strict=True):
+            one, two, ids, names, places = [], [], [], [], []
+            texts = batch.column(2).to_pylist()
+            for doc, t, text, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, word_hashes(texts), strict=True):
                 f = window_fingerprints(words)
                 keep = np.ones(len(f), bool)
                 for at in _bits_of(f, bits):
@@ -177,30 +180,16 @@ def _windowing(bloom_of_shared):
                 at = np.flatnonzero(keep)
                 if len(at):
                     one.append(rolled(words, WINDOW)[at])
-                    two.append(rolled(mixed(words ^ _SECOND), WINDOW, _SECOND)[at])
+                    two.append(rolled(word_hashes([text], seed=1)[0], WINDOW, _SECOND)[at])
                     ids.append(np.full(len(at), doc, np.int64))
+                    names.append(np.full(len(at), t, np.int64))
                     places.append(at.astype(np.int32))
             if one:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))], names=["w1", "w2", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([x.view(np.int64) for x in one], [x.view(np.int64) for x in two], ids, names, places)], names=["w1", "w2", "doc_id", "t", "at"])
 
     return run
 
 
-def _repeating(batches):
-    """Rows sorted by (w1, w2, doc_id): those of other documents than the group's first."""
-    last, first = None, None
-    for batch in batches:
-        w1, w2, doc, at = [batch.column(i).to_numpy() for i in range(4)]
-        if not len(doc):
-            continue
-        start = np.concatenate(([last != (w1[0], w2[0])], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
-        group = np.cumsum(start)
-        firsts = np.concatenate(([first if first is not None else 0], doc[start]))
-        repeat = doc > firsts[group]
-        last, first = (w1[-1], w2[-1]), firsts[group[-1]]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[repeat]), pa.array(at[repeat])], names=["doc_id", "at"])
-
-
 def covered(n: int, starts, window: int = WINDOW) -> np.ndarray:
     marks = np.zeros(n + 1, np.int64)
     np.add.at(marks, np.asarray(starts, np.int64), 1)
@@ -212,20 +201,20 @@ def _removing(with_text: bool):
     def run(batches):
         for batch in batches:
             removed, digests, texts = [], [], []
-            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = text.split()
                 gone = covered(len(words), starts)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                 removed.append(int(gone.sum()))
                 digests.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(digests), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(removed, pa.int64()), pa.array(digests), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "t", "n_removed", "kept_sha256", "kept"])
 
     return run
 
 
 def _few(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Broadcast behind a count of the rows (ids of 8 bytes); else a shuffle."""
+    """Broadcast behind a count of the rows (16 bytes each); else a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
@@ -233,13 +222,14 @@ def dedup(docs: DataFrame, batches: int = 4, with_text: bool = False) -> DataFra
     """doc_id, n_words, n_removed, kept_sha256, and kept (the text left of a document that lost words) if asked for."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    measured = scratch.save(map_batches(docs, _measuring, "doc_id long, n_words long, sha256 string"), "measured")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
+    row = ["doc_id", "t"]  # a row's name: rows alike in it are repeated rows
+    measured = scratch.save(map_batches(docs, _measuring, "doc_id long, t long, n_words long, sha256 string"), "measured")
     first = measured.where(f"n_words >= {WINDOW}").groupBy("sha256").agg(F.min("doc_id").alias("first_id"))
     measured = scratch.save(measured.join(first, "sha256", "left").withColumn("copy", F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False))).drop("first_id"), "classes")
     scratch.drop("measured")
-    short_or_copy = measured.where(f"copy or n_words < {WINDOW}").select("doc_id").distinct()
-    texts = docs.join(_few(short_or_copy), "doc_id", "left_anti").select("doc_id", "text")
+    short_or_copy = measured.where(f"copy or n_words < {WINDOW}").select(*row).distinct()
+    texts = docs.join(_few(short_or_copy), row, "left_anti").select(*row, "text")
     edges = sorted(set(measured.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001)))
     index, shared = FingerprintIndex(scratch, partitions(docs)), None
     for i, (lo, hi) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
@@ -249,12 +239,14 @@ def dedup(docs: DataFrame, batches: int = 4, with_text: bool = False) -> DataFra
         shared = new if shared is None else shared.unionByName(new)
     bloom = spark.sparkContext.broadcast(bloom_of(shared))
     index.close()
-    windows = map_batches(texts, _windowing(bloom), "w1 long, w2 long, doc_id long, at int")
-    repeats = map_batches(windows.repartition(partitions(docs), "w1", "w2").sortWithinPartitions("w1", "w2", "doc_id"), _repeating, "doc_id long, at int")
-    repeats = scratch.save(repeats.groupBy("doc_id").agg(F.collect_list("at").alias("starts")), "repeats")
-    hit = texts.join(_few(repeats.select("doc_id")), "doc_id", "left_semi")
-    cut = map_batches(hit.join(repeats, "doc_id").select("doc_id", "text", "starts"), _removing(with_text), "doc_id long, n_removed long, kept_sha256 string, kept string").dropDuplicates(["doc_id"])
-    out = measured.join(cut, "doc_id", "left")
+    windows = scratch.save(map_batches(texts, _windowing(bloom), "w1 long, w2 long, doc_id long, t long, at int"), "windows")
+    heads = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    repeats = windows.join(heads, ["w1", "w2"]).where("doc_id > first_id").groupBy(*row).agg(F.collect_set("at").alias("starts"))
+    repeats = scratch.save(repeats, "repeats")
+    scratch.drop("windows", *[f"shared{i}" for i in range(len(edges) + 1)])
+    hit = texts.join(_few(repeats.select(*row)), row, "left_semi").dropDuplicates(row)
+    cut = map_batches(hit.join(repeats, row).select(*row, "text", "starts"), _removing(with_text), "doc_id long, t long, n_removed long, kept_sha256 string, kept string")
+    out = measured.join(cut, row, "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
         F.when(F.col("doc_id") != F.lit(-(2**63)), F.col("doc_id")).alias("doc_id"),

@@ -50,6 +50,33 @@ def test_word_hashes():
     assert got[3][0] == got[3][2] and len({*got[3], *got[4], *got[5]}) == 6  # a b c, "é\u00a0b", y..., z
 
 
+def parity_words(n):
+    """Two words that every polynomial hash modulo 2^64 takes for one, from 1,024 letters on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096, 70_000])
+def test_words_that_powers_confuse(spark, n):
+    x, y = parity_words(n)
+    assert len({h for seed in (0, 1) for w in word_hashes([x.encode(), y.encode()], seed) for h in w.tolist()}) == 4
+    rest = " ".join(f"r{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{x} {rest}", None, None, 0), (2, f"{y} {rest}", None, None, 0)], DOCS)
+    assert {r.n_removed for r in substring_dedup.dedup(df).collect()} == {0}
+    pair = spark.createDataFrame([(1, x, None, None, 0), (2, y, None, None, 0)], DOCS)
+    assert {r.component_id for r in jaccard_join.link_components(pair).collect()} == {1, 2}
+
+
+def test_one_id_with_several_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words[:30]), " ".join(words[30:]), " ".join(words[10:25])
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in [(1, a), (5, a), (5, b), (5, "x"), (7, c), (7, b), (7, b), (None, b), (None, c)]], DOCS)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.dedup(df).collect())
+    assert got == [(0, 15, 0), (0, 30, 0), (1, 30, 15), (5, 1, 0), (5, 30, 30), (5, 30, 30), (7, 15, 15), (7, 30, 30), (7, 30, 30)]
+    near = jaccard_join.link_components(df).collect()
+    assert {(r.doc_id, r.component_id) for r in near} == {(1, 1), (5, 1), (7, 1), (None, None)}
+
+
 def brute_removed(rows):
     words = {i: (t or "").encode().split() for i, t in rows}
     first = {}
@@ -257,8 +284,8 @@ def brute_components(rows):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_join(spark, seed):
+@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"broadcast_rows": 0}), (3, {"list_rows": 2}), (4, {"list_rows": 2, "broadcast_rows": 0})])
+def test_jaccard_join(spark, seed, options):
     rows = small_docs(seed, 80)
     rng = random.Random(seed)
     base = [f"t{i}" for i in range(40)]
@@ -267,9 +294,11 @@ def test_jaccard_join(spark, seed):
         for _ in range(rng.randrange(4)):
             w[rng.randrange(40)] = f"u{i}"
         rows.append((2000 + i, " ".join(w), "en", "s0", 1))
+    for i in range(80):  # short sets, from a few words
+        rows.append((3000 + i, " ".join(rng.choices("abc", k=rng.choice([2, 4, 5, 8, 9, 10]))), "en", "s0", 1))
     df = spark.createDataFrame(rows, DOCS)
     want = brute_components([(r[0], r[1]) for r in rows])
-    got = jaccard_join.link_components(df).collect()
+    got = jaccard_join.link_components(df, **options).collect()
     assert len(got) == len(rows) and all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
     kept = jaccard_join.keep_one(df)
     assert {r.doc_id for r in kept.collect()} == {c for _, c in want.values()} and kept.columns == df.columns
