@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(_remove_quietly, spark, found)
@@ -63,6 +65,13 @@ class Scratch:
         for name in names:
             remove(self.spark, self.path(name))
 
+    def keep_only(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.root)
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+        self.drop(*[name for name in (f.getPath().getName() for f in found) if name not in names])
+
 
 def bound_arrow(spark: SparkSession) -> None:
     """Arrow batches of at most 2,000 rows or 16 MB, so that long texts don't fill a Python worker."""

@@ -8,21 +8,30 @@ Light side: two linked sets share a subset of exactly c shingles, so each set of
 shingles names all its c-subsets, for each c that a partner could ask for. Heavy side: larger sets
 enter inverted lists with the first s - ceil(0.75 s) + 1 of their shingles, the rarest first, which
 two linked sets can't miss each other in; small sets large enough to have a large partner enter
-too. ``bound`` is where the counted cost of both sides is least. Rarity is a count in a sketch, over
-all documents, of the shingles that an order by hash alone would put first: passages that many
-documents share are found there and move to the end. It only decides an order, the same for all
-sets, so collisions in the sketch cost time and no link.
-
-Links, not all pairs: the product is components. In each round every list names one centre (by a
-hash that differs by round), and each member picks one centre outside its component, from the third
-round on one in each other component, to be verified against (by a bitmap bound, then by exact
-intersection); a group of copies of any size thus costs a pair for each member, not for each two. Lists whose members are one component by then are finished. The others' remaining pairs, of
-different components and possible sizes, are all verified at the end, so no link is lost.
+too. ``bound`` is where the counted cost of both sides is least. Rarity is a count in a sketch of
+all shingles of all documents: passages that many documents share are found there and move to the
+end. It only decides an order, the same for all sets, so collisions in the sketch cost time and no
+link.
+
+Place bound: at the first shingle that two sets share in that order, nothing before it is shared, so
+the intersection is at most the smaller of what each set has from there on. A pair meets that bound
+there, or nowhere and isn't linked. It holds for a row alone, too: one that has less left than the
+smallest set of its list asks for leaves the list. Members of a group of near copies that differ
+too much lose their rows this way, before any pair is made.
+
+Links, not all pairs: the product is components. First every list names one centre, the member in
+which the fewest rarer shingles come before (of near copies the one most like the others), and each
+document is verified against the centre that most of its lists name: a group of copies of any size
+costs a pair for each member. Then the pairs of different components that the place bound leaves are
+verified, all of them, so no link is lost. Verifying is a bitmap bound, then the exact intersection.
+Lists of shingles that the sketch knows to be very frequent are dealt to several tasks by salt where
+centres are named; the last join leaves uneven lists to adaptive execution.
 
 Defined cases: null or empty text, or one without words, has size 0, is linked with nothing and is
 its own component; with fewer than five words the whole sequence is the only shingle; repeated rows
-are alike and share a component; null doc_id never links and keeps a null component; an empty table
-gives no row.
+are alike and share a component; rows of one doc_id with different texts are one document, which has
+the links of all of them; null doc_id never links and keeps a null component; an empty table gives
+no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,6 +53,7 @@ WORDS = 5
 SKETCH = 1 << 22  # counters
 SPARE = 64  # rows of the sketch that travel as one
 MOST_LIGHT = 16  # sets beyond this size have too many subsets at any cost
+LIST_ROWS = 50_000  # rows of one list that a task should see where centres are named
 _SUBSET = np.uint64(0xA0761D6478BD642F)
 SET_ROWS = 1000  # pairs of one centre that go to one place
 
@@ -72,18 +82,17 @@ def counter_of(hashes: np.ndarray) -> np.ndarray:
 def _measuring(batches):
     """Size and digest of each set, and at the end the task's sketch."""
     sketch, any_row = np.zeros(SKETCH, np.uint32), False
-    names = ["doc_id", "n", "digest", "place", "counts"]
+    names = ["doc_id", "t", "n", "digest", "place", "counts"]
     for batch in batches:
         sets, n, any_row = shingle_sets(batch.column(1).to_pylist()), batch.num_rows, True
         for s in sets:
-            if len(s):  # sets are sorted by hash: the shingles that would stand first if all were as rare
-                np.add.at(sketch, counter_of(s[: prefix_length(len(s))]), 1)
+            np.add.at(sketch, counter_of(s), 1)
         digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     if any_row:
         step = SKETCH // SPARE
         parts = [sketch[i * step : (i + 1) * step].tobytes() for i in range(SPARE)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(SPARE, pa.int64()), pa.nulls(SPARE, pa.int32()), pa.nulls(SPARE, pa.binary()), pa.array(range(SPARE), pa.int32()), pa.array(parts, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(SPARE, pa.int64()), pa.nulls(SPARE, pa.int64()), pa.nulls(SPARE, pa.int32()), pa.nulls(SPARE, pa.binary()), pa.array(range(SPARE), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
 
 def _adding(batches):
@@ -102,20 +111,32 @@ def _adding(batches):
         yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["place", "counts"])
 
 
-def rarity(sketches: DataFrame) -> np.ndarray:
-    """The sum of all tasks' sketches, as classes of doubling counts: one byte a counter."""
+class Rarity:
+    """Classes of doubling counts, one byte a counter; ``salts`` says over how many tasks a class's lists are dealt."""
+
+    def __init__(self, counts: np.ndarray, list_rows: int):
+        # Counts that chance alone explains are one class.
+        mean = float(counts.mean())
+        usual = mean + 4 * mean**0.5 + 2
+        self.classes = np.ceil(np.log2(np.maximum(counts, usual) / usual) * 2).astype(np.uint8)
+        self.salts = np.ceil(usual * 2 ** (np.arange(256) / 2).clip(max=60) / list_rows).astype(np.int64)
+        self.salts[0] = 1
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        return self.classes[counter_of(s)]
+
+
+def rarity(sketches: DataFrame, list_rows: int) -> Rarity:
+    """From the sum of all tasks' sketches."""
     n = partitions(sketches)
     rows = sketches.where("place is not null").select("place", "counts").repartition(n).sortWithinPartitions("place")
     rows = map_batches(rows, _adding, "place int, counts binary")  # one row a place and task
     rows = map_batches(rows.repartition(SPARE, "place").sortWithinPartitions("place"), _adding, "place int, counts binary")
     out = np.zeros(SKETCH, np.uint32)
     step = SKETCH // SPARE
-    for row in rows.collect():  # 4 MB, whatever the input
+    for row in rows.toLocalIterator():  # 16 MB in all, whatever the input
         out[row["place"] * step : (row["place"] + 1) * step] = np.frombuffer(row["counts"], np.uint32)
-    # Counts that chance alone explains are one class: shingles outside the counted prefixes have no other.
-    mean = float(out.mean())
-    usual = mean + 4 * mean**0.5 + 2
-    return np.ceil(np.log2(np.maximum(out, usual) / usual) * 2).astype(np.uint8)
+    return Rarity(out, list_rows)
 
 
 def light_cost(s: int) -> int:
@@ -135,9 +156,9 @@ def choose_bound(sizes: dict[int, int]) -> int:
     return min(range(MOST_LIGHT + 1), key=lambda b: (cost(b), b))
 
 
-def subset_keys(s: np.ndarray) -> np.ndarray:
-    """A hash for each subset of each size that a partner of this set or of a smaller or larger one could ask for."""
-    out = []
+def subset_keys(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each subset of each size that a partner of this set or of a smaller or larger one could ask for, and its size."""
+    out, sizes = [], []
     n = len(s)
     for c in range(ceil(0.75 * n), n + 1):
         picked = np.array(list(combinations(range(n), c)))
@@ -145,55 +166,67 @@ def subset_keys(s: np.ndarray) -> np.ndarray:
         for k in range(c):
             h = mixed(h * _SUBSET + s[picked[:, k]])
         out.append(h)
-    return np.concatenate(out)
+        sizes.append(np.full(len(h), c))
+    return np.concatenate(out), np.concatenate(sizes)
 
 
 def _listing(order_of, bound: int):
-    """Rows (key, doc_id, n, at): at is the shingle's place in the set's order, -1 for a subset."""
+    """Rows (key, salt, at, id, n): at is the shingle's place in the set's order, or -c for a subset of c. Salt 0: one task has the whole list."""
 
     def run(batches):
         order = order_of.value
         for batch in batches:
-            keys, ids, sizes, places = [], [], [], []
+            columns = [[] for _ in range(5)]
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
                 n = len(s)
                 found = []
                 if 0 < n <= bound:
-                    k = subset_keys(s)
-                    found.append((k, np.full(len(k), -1, np.int32)))
+                    k, c = subset_keys(s)
+                    found.append((k, np.zeros(len(k), np.int32), -c.astype(np.int32)))
                 if n and n >= ceil(0.75 * (bound + 1)):
-                    first = s[np.lexsort((s, order[counter_of(s)]))[: prefix_length(n)]]
-                    found.append((first, np.arange(len(first), dtype=np.int32)))
-                for k, at in found:
-                    keys.append(k)
-                    places.append(at)
-                    ids.append(np.full(len(k), doc, np.int64))
-                    sizes.append(np.full(len(k), n, np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (np_view(keys), ids, sizes, places)], names=["key", "id", "n", "at"])
+                    kinds = order.of(s)
+                    first = np.lexsort((s, kinds))[: prefix_length(n)]
+                    tasks = order.salts[kinds[first]]
+                    salt = np.where(tasks > 1, 1 + doc * 0x9E3779B97F4A7C15 % (1 << 31) % tasks, 0)
+                    found.append((s[first], salt.astype(np.int32), np.arange(len(first), dtype=np.int32)))
+                for k, salt, at in found:
+                    for column, x in zip(columns, (k.view(np.int64), salt, at, np.full(len(k), doc, np.int64), np.full(len(k), n, np.int32)), strict=True):
+                        column.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["key", "salt", "at", "id", "n"])
 
     return run
 
 
-def np_view(keys: list[np.ndarray]) -> list[np.ndarray]:
-    return [k.view(np.int64) for k in keys]
+_LISTED = "key long, at int, id long, n int, c_at int, c_id long, c_n int"
 
 
 def _shared(batches):
-    """Rows sorted by key: those whose key stands in more than one."""
-    held = None  # the last row so far, and whether its key came before
-    names = ["key", "id", "n", "at"]
+    """Rows sorted by (key, salt, at, id): those whose key stands in more than one, with the first as centre. Rows of a salted key all stay."""
+    names = [f.split()[0] for f in _LISTED.split(", ")]
+    held, of = None, None  # the last row so far and whether it is shared; its key's first row
     for batch in batches:
-        cols = [batch.column(i).to_numpy() for i in range(4)]
+        cols = [batch.column(i).to_numpy() for i in range(5)]
+        if not len(cols[0]):
+            continue
+        shared = False
         if held is not None:
-            cols = [np.concatenate((h, c)) for h, c in zip(held[0], cols, strict=True)]
-        key = cols[0]
-        same = key[1:] == key[:-1]
-        keep = np.concatenate((same, [False])) | np.concatenate(([held is not None and held[1]], same))
-        held = [c[-1:] for c in cols], bool(keep[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep[:-1]]) for c in cols], names=names)
+            cols, shared = [np.concatenate((h, c)) for h, c in zip(held[0], cols, strict=True)], held[1]
+        key, salt, at, doc, n = cols
+        same = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
+        starts = np.concatenate(([True], ~same))
+        keep = np.concatenate((same, [False])) | np.concatenate(([shared], same)) | (salt > 0)
+        group = np.cumsum(starts) - 1
+        centres = [x[starts] for x in (at, doc, n)]
+        if held is not None:  # the first row goes on the group of the last batch
+            for x, old in zip(centres, of, strict=True):
+                x[0] = old
+        held, of = ([c[-1:] for c in cols], bool(keep[-1])), [x[-1] for x in centres]
+        out = np.flatnonzero(keep[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, at, doc, n)] + [pa.array(x[group[out]]) for x in centres], names=names)
     if held is not None and held[1]:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=names)
+        key, _, at, doc, n = held[0]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, at, doc, n)] + [pa.array(np.array([x])) for x in of], names=names)
 
 
 def _outlines(batches):
@@ -243,15 +276,15 @@ def _comparing(test):
     """Rows sorted by (a, salt, b nulls first): a centre's own data, then those to compare with it."""
 
     def run(batches):
-        at, own = None, None
+        at, own = None, []  # an id with several texts has several data
         for batch in batches:
             a_out, b_out = [], []
             for a, salt, b, data in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 if b is None:
-                    at, own = (a, salt), data
+                    at, own = (a, salt), own + [data] if at == (a, salt) else [data]
                 elif at != (a, salt):
                     raise ValueError("a centre's data is missing")
-                elif test(own, data):
+                elif any(test(x, data) for x in own):
                     a_out.append(a)
                     b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
@@ -260,7 +293,7 @@ def _comparing(test):
 
 
 def compare(pairs: DataFrame, data: DataFrame, test) -> DataFrame:
-    """The distinct pairs (a, b) whose data pass the test. A centre's many partners are dealt to places by salt, each with the centre's data."""
+    """The pairs (a, b) whose data pass the test. A centre's many partners are dealt to places by salt, each with the centre's data."""
     n = partitions(pairs)
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SET_ROWS).cast("int").alias("salts"))
     others = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
@@ -271,76 +304,70 @@ def compare(pairs: DataFrame, data: DataFrame, test) -> DataFrame:
 
 
 def _possible(x: str, y: str) -> str:
-    """Sizes and places that linked sets could have at a shared key."""
-    need = f"ceil(3 * ({x}.n + {y}.n) / 7)"
-    most = f"(least({x}.at, {y}.at) + least({x}.n - {x}.at, {y}.n - {y}.at))"
-    return f"least({x}.n, {y}.n) * 4 >= greatest({x}.n, {y}.n) * 3 and ({x}.at < 0 or {y}.at < 0 or {most} >= {need})"
+    """Sizes and places that linked sets could have at the first key that they share."""
+    need = f"ceil(3 * ({x}n + {y}n) / 7)"
+    sizes = f"least({x}n, {y}n) * 4 >= greatest({x}n, {y}n) * 3"
+    return f"{sizes} and if({x}at < 0, -{x}at, least({x}n - {x}at, {y}n - {y}at)) >= {need}"
 
 
-def link_components(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, list_rows: int = LIST_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with the same set) for each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     n = partitions(docs)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    measured = scratch.save(map_batches(docs, _measuring, "doc_id long, n int, digest binary, place int, counts binary"), "measured")
-    order = spark.sparkContext.broadcast(rarity(measured))
-    rows = measured.where("place is null").select("doc_id", "n", "digest")
-    classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
-    members = scratch.save(rows.join(classes, "digest", "left").select("doc_id", "n", "class_id", "members"), "members")
+    docs = docs.withColumn("t", F.xxhash64("text"))  # with doc_id, the row's name
+    measured = scratch.save(map_batches(docs.select("doc_id", "text", "t"), _measuring, "doc_id long, t long, n int, digest binary, place int, counts binary"), "measured")
+    order = spark.sparkContext.broadcast(rarity(measured, list_rows))
+    rows = measured.where("place is null").select("doc_id", "t", "n", "digest")
+    classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    members = scratch.save(rows.join(classes, "digest", "left").select("doc_id", "t", "n", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "members")
+    scratch.drop("measured")
     sizes = members.where("doc_id = class_id and n <= 64").groupBy("n").count()
     bound = choose_bound({r["n"]: r["count"] for r in sizes.collect()})
     # Copies whose set is a smaller id's stay out; where all rows are distinct this keeps every row.
-    copies = members.where("class_id is not null and doc_id <> class_id").select("doc_id").distinct()
-    firsts = docs.where("doc_id is not null").join(_small(copies, broadcast_rows), "doc_id", "left_anti")
-    lists = map_batches(firsts, _listing(order, bound), "key long, id long, n int, at int")
-    lists = scratch.save(map_batches(lists.repartition(n, "key").sortWithinPartitions("key"), _shared, "key long, id long, n int, at int"), "lists")
+    copies = members.where("class_id is not null and doc_id <> class_id").select("doc_id", "t").distinct()
+    firsts = docs.where("doc_id is not null").join(_small(copies, broadcast_rows), ["doc_id", "t"], "left_anti").select("doc_id", "text")
+    lists = map_batches(firsts, _listing(order, bound), "key long, salt int, at int, id long, n int")
+    lists = scratch.save(map_batches(lists.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "at", "id"), _shared, _LISTED), "lists")
     order.unpersist()
-    linked = scratch.save(lists.select("id").distinct(), "linked")
     of = lambda ids: firsts.join(_small(ids.toDF("doc_id"), broadcast_rows), "doc_id", "left_semi")
-    outlines = scratch.save(map_batches(of(linked), _outlines, "id long, data binary"), "outlines")
+
+    def both_ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """Exact on what the outlines leave; the sets of those alone are made."""
-        near = scratch.save(compare(pairs, outlines, may_link), f"near-{name}")
-        ids = near.select("a").unionByName(near.select(F.col("b").alias("a"))).distinct()
-        found = scratch.save(compare(near, map_batches(of(ids), _sets, "id long, data binary"), links), f"links-{name}")
+        """A bitmap bound, then exact on what that leaves."""
+        near = scratch.save(compare(pairs, map_batches(of(both_ends(pairs)), _outlines, "id long, data binary"), may_link), f"near-{name}")
+        found = scratch.save(compare(near, map_batches(of(both_ends(near)), _sets, "id long, data binary"), links), f"links-{name}")
         scratch.drop(f"near-{name}")
         return found
 
-    roots = linked.select(F.col("id").alias("node"), F.col("id").alias("root"))
-    tested, live = None, lists
-    for i in range(rounds):
-        with_root = live.join(roots, live["id"] == roots["node"]).drop("node")
-        turn = F.xxhash64("id", F.lit(i)) if i else F.col("id")
-        centres = with_root.groupBy("key").agg(F.min_by(F.struct("id", "n", "at", "root"), turn).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "c")
-        live = scratch.save(with_root.join(centres, "key"), f"live{i}")
-        pairs = live.where("root <> c.root").where(_possible("live", "c").replace("live.", "")).select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.root").alias("to"))
-        if tested is not None:
-            done = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.distinct().join(done, ["a", "b"], "left_anti")
-        turn = F.xxhash64("a", F.lit(i)) if i else F.col("a")
-        pairs = pairs.groupBy("b", *(["to"] if i > 1 else [])).agg(F.min_by("a", turn).alias("a")).select("a", "b")
-        pairs = scratch.save(pairs, f"pairs{i}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = verify(pairs, str(i))
-        live = live.drop("c", "root")
-        if i:
-            scratch.drop(f"live{i - 1}")
-        if new.isEmpty():
-            break
-        roots = _rooted(linked, _tied(roots).unionByName(new), scratch, f"round{i}-")
-    # What is left: pairs of different components in lists that still hold several.
-    left = live.join(roots, live["id"] == roots["node"]).select("key", "id", "n", "at", "root")
+    # Rows of one id with several classes: the same document.
+    several = members.where("class_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a < z").select("doc_id", "a")
+    own = members.where("class_id is not null").join(several, "doc_id").where("class_id > a").select("a", F.col("class_id").alias("b")).distinct()
+    # Each document with the centre that most of its lists name.
+    named = lists.where("id <> c_id").where(_possible("", "c_")).groupBy(F.col("id").alias("b"), F.col("c_id").alias("a")).count()
+    pairs = scratch.save(named.groupBy("b").agg(F.max_by("a", F.struct("count", F.negative("a"))).alias("a")).select("a", "b"), "centre-pairs")
+    found = scratch.save(own.unionByName(verify(pairs, "centres")), "found")
+    roots = scratch.save(components(found, scratch, "first-"), "roots")
+    # Pairs of different components that their places allow, in lists that hold several.
+    rooted = lists.select("key", "at", "id", "n").join(_small(roots, broadcast_rows), lists["id"] == roots["node"], "left").select("key", "at", "id", "n", F.coalesce("root", "id").alias("root"))
+    heads = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("key", "least")
+    least = "greatest(least, ceil(3 * n / 4))"
+    left = scratch.save(rooted.join(heads, "key").where(f"at < 0 or n - at >= ceil(3 * (n + {least}) / 7)").drop("least"), "left")
+    scratch.drop("lists", "centre-pairs", "links-centres")
     x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, F.expr("x.key = y.key and x.id < y.id and x.root <> y.root and " + _possible("x", "y"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    done = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = scratch.save(rest.join(done, ["a", "b"], "left_anti"), "rest")
+    rest = x.join(y, F.expr("x.key = y.key and x.id < y.id and x.root <> y.root and " + _possible("x.", "y.")))
+    rest = scratch.save(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "rest")
+    scratch.drop("left")
     last = verify(rest, "last")
     if not last.isEmpty():
-        roots = _rooted(linked, _tied(roots).unionByName(last), scratch, "final-")
-    out = members.join(roots, members["class_id"] == roots["node"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+        roots = scratch.save(components(_tied(roots).unionByName(last), scratch, "final-"), "final-roots")
+    out = members.join(_small(roots, broadcast_rows), members["class_id"] == roots["node"], "left")
+    out = scratch.save(out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")), "out")
+    scratch.keep_only("out")
+    return out
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -353,11 +380,6 @@ def _tied(roots: DataFrame) -> DataFrame:
     return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def _rooted(nodes: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    found = components(links, scratch, name)
-    return scratch.save(nodes.join(found, nodes["id"] == found["node"], "left").select(F.col("id").alias("node"), F.coalesce("root", "id").alias("root")), f"{name}roots")
-
-
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The input's columns: of each component the row with the smallest doc_id; rows of size 0 or null doc_id all stay."""
     gone = link_components(docs, **options).where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
