@@ -3,9 +3,9 @@
 Building: random-hyperplane trees, fitted on a bounded sample and applied to every row, deal the
 vectors into cells of at most ``cell`` rows; exact neighbours within the cells of ``trees`` trees
 start the graph. Each round of NN-descent lets every node introduce its neighbours (the nodes it
-points to and a bounded sample of those pointing to it) to each other: nodes are dealt to blocks,
-each block fetches the distinct vectors its nodes name, compares them pair by pair in NumPy, and
-sends back for each vector only introductions better than its present worst neighbour. Lists of
+points to and a bounded sample of those pointing to it) to each other: nodes are dealt to blocks
+of bounded size, each block fetches the distinct vectors its nodes name (a vector goes to no more
+blocks than there are, nor than name it), compares them pair by pair in NumPy, and sends back for each vector only introductions better than its present worst neighbour. Lists of
 candidates are merged per node. Work a round is proportional to the number of nodes.
 
 Searching: a query is a row, so its node's neighbours start the search; each step expands the best
@@ -33,7 +33,7 @@ from lattica.llm.common import Scratch, map_batches, partitions
 
 K = 64  # neighbours a node keeps
 CELL = 1000
-BLOCK = 4096  # nodes a block
+BLOCK_BYTES = 384 << 20  # of vectors that a block fetches at most: 2 K for each of its nodes
 SAMPLE = 20_000
 _NODES = "node long, ids binary, scores binary"
 
@@ -119,8 +119,8 @@ def _groups(batches, keys: int):
                 continue
             this = tuple(c[a] for c in columns)
             if held and this != key:
-                yield key, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
+                whole, held = pa.Table.from_batches(held), []
+                yield key, whole.combine_chunks().to_batches()[0]
             key = this
             held.append(batch.slice(a, b - a))
     if held:
@@ -264,7 +264,7 @@ def _worst(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(low, np.float32))], names=["node", "worst"])
 
 
-def build_graph(nodes: DataFrame, scratch: Scratch, trees: int = 4, rounds: int = 3, seed: int = 11) -> DataFrame:
+def build_graph(nodes: DataFrame, scratch: Scratch, trees: int = 4, rounds: int = 3, seed: int = 11, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``nodes``: node, v (array<float>). Returns node, ids, scores: its best K neighbours, packed."""
     spark, n_parts = nodes.sparkSession, partitions(nodes)
     n = nodes.count()
@@ -278,7 +278,7 @@ def build_graph(nodes: DataFrame, scratch: Scratch, trees: int = 4, rounds: int
     cells = cells.repartition(n_parts, "tree", "cell", "sub").sortWithinPartitions("tree", "cell", "sub")
     graph = scratch.save(merge_lists(map_batches(cells, _cell_neighbours, _NODES)), "graph0", "none")
     scratch.drop("dealt")
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, -(-n * 2 * K * 4 * x.shape[1] // block_bytes))
     block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
     for i in range(1, rounds + 1):
         named = map_batches(graph.select("node", "ids"), _naming, "node long, turn long, other long")
