@@ -98,15 +98,14 @@ def mix(docs: DataFrame, block: int = 1024, most: int = 3, seed: str = "mix", id
     shuffled = F.md5(F.concat_ws("\x00", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"), shuffled.alias("key"), *([F.struct(*docs.columns).alias("row")] if keep else []),
+        word_count(F.col(text_col)).alias("size"), shuffled.alias("key"), F.monotonically_increasing_id().alias("at"), *([F.struct(*docs.columns).alias("row")] if keep else []),
     )
-    rows = scratch.save(rows, "rows")
+    rows = scratch.save(rows, "rows")  # with each row's number, which stays what it is
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = scratch.save(source_targets(sizes, most).withColumn("goal", F.floor("target").cast("long")), "targets")
     # The targets have a row for each source; AQE broadcasts them by their measured size.
     t = targets.select(F.col("source").alias("__source"), "source_no", "source_size", "target", "goal")
-    light = rows.withColumn("at", F.monotonically_increasing_id())
-    light = light.join(t, light["source"].eqNullSafe(t["__source"])).drop("__source")
+    light = rows.join(t, rows["source"].eqNullSafe(t["__source"])).drop("__source")
     ranged = prefix_sums(
         light.drop("row"), [F.col("source_no")], F.substring("key", 1, 3), [F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("at")], {"start": F.col("size")}
     )
@@ -136,7 +135,7 @@ def mix(docs: DataFrame, block: int = 1024, most: int = 3, seed: str = "mix", id
     )
     out = ranged.join(taken, "at", "left")
     if keep:
-        out = out.join(rows.withColumn("at", F.monotonically_increasing_id()).select("at", "row"), "at")
+        out = out.join(rows.select("at", "row"), "at")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "takes", *(["row"] if keep else []))
 
 

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import Scratch
+
 WORDS = 8  # a block has 8 words of 64 bits, one cache line
 PROBES = 6
 
@@ -86,6 +88,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         .withColumn("path", path)
         .select("__id", "host", "path", F.monotonically_increasing_id().alias("__row"))
     )
+    rows = Scratch(spark, "urls").save(rows, "rows")  # urls are parsed once, and row numbers stay what they are
     if not shapes:
         return rows.select(F.col("__id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     if len(shapes) == 4096:  # too many shapes for literals: take every one up to the longest
