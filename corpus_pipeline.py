@@ -54,4 +54,5 @@ def run(spark, sf_dir):
     scratch = Scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage{i}")
+        scratch.keep_only(f"stage{i}")
     return STAGES[-1][1](spark, docs, sf_dir)
