@@ -35,7 +35,8 @@ def tree_value(nodes: list[dict], features: list[Column]) -> Column:
     """A decision tree compiled to nested conditions, so that scoring stays in the JVM.
 
     ``nodes``: feature (-2: leaf), threshold, left, right, value. Features count as 32-bit floats;
-    at most the threshold goes left, null and NaN right. A tree that isn't well formed gives 0.0.
+    at most the threshold goes left; a null or non-finite feature on the way gives 0.0, as does a
+    tree that isn't well formed.
     """
     if not tree_is_valid(nodes, len(features)):
         return F.lit(0.0)
@@ -45,7 +46,8 @@ def tree_value(nodes: list[dict], features: list[Column]) -> Column:
         if n["feature"] == -2:
             return F.lit(float(n["value"]))
         x = features[n["feature"]].cast("float").cast("double")
-        return F.when(~F.isnan(x) & (x <= float(n["threshold"])), at(n["left"])).otherwise(at(n["right"]))
+        finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+        return F.when(~finite, 0.0).when(x <= float(n["threshold"]), at(n["left"])).otherwise(at(n["right"]))
 
     return at(0)
 
@@ -66,10 +68,11 @@ def tree_is_valid(nodes: list[dict], width: int) -> bool:
 
 
 def greedy_ctc(logits: Column, width: int) -> Column:
-    """Best class of each step of a flat array of ``width`` logits a step; repeats merged, class 0 (blank) dropped."""
-    steps = F.transform(F.sequence(F.lit(0), (F.size(logits) / width).cast("int") - 1), lambda i: F.slice(logits, i * width + 1, F.lit(width)))
+    """Best class of each step of a flat array of ``width`` logits a step; repeats merged, the last class (blank) dropped."""
+    n = F.floor(F.size(logits) / width).cast("int")
+    steps = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(logits, i * width + 1, F.lit(width)))
     best = F.transform(steps, lambda s: F.array_position(s, F.array_max(s)).cast("int") - 1)
-    return F.filter(best, lambda c, i: (c != 0) & ((i == 0) | (c != F.get(best, i - 1))))
+    return F.filter(best, lambda c, i: (c != width - 1) & ((i == 0) | (c != F.get(best, i - 1))))
 
 
 def point_transform(x: Column, y: Column, m: tuple[float, ...]) -> tuple[Column, Column]:

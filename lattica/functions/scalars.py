@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,25 +40,67 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+def accent_fold(c: Column | str) -> Column:
+    """Compatibility decomposition without combining marks. No SQL function of Spark decomposes, hence Arrow batches."""
+
+    def folded(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t if t is None or t.isascii() else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)))
+
+    return F.pandas_udf(folded, "string")(c)
+
+
 #: Character groups that scans confuse, and what they stand for (fixed values).
-CONFUSIONS = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("0", "o"), ("1", "l"), ("5", "s")]
+CONFUSED_PAIRS = [("rn", "m"), ("cl", "d"), ("vv", "w")]
+CONFUSED_CHARACTERS = {"0": "o", "1": "l", "|": "l", "5": "s", "2": "z"}
 
 
 def confusion_skeleton(c: Column) -> Column:
-    out = F.lower(c)
-    for seen, meant in CONFUSIONS:
+    """Lower case without accents, confused groups merged, letters and digits only."""
+    out = accent_fold(F.lower(c))
+    for seen, meant in CONFUSED_PAIRS:
         out = F.replace(out, F.lit(seen), F.lit(meant))
-    return out
+    out = F.translate(out, "".join(CONFUSED_CHARACTERS), "".join(CONFUSED_CHARACTERS.values()))
+    return F.regexp_replace(out, r"[^\p{L}\p{N}]", "")
 
 
 def text_family(c: Column) -> Column:
-    """numeric, short word, or mixed."""
-    return F.when(c.rlike(r"^[0-9]+$"), "numeric").when(c.rlike(r"^[A-Za-z]{1,6}$"), "short_word").otherwise("mixed")
+    """numeric: digits and no letter; music_word: letters, no digit, at most 12 characters between marks; else metadata_mixed."""
+    t = normalised_text(c)
+    letter, digit = t.rlike(r"\p{L}"), t.rlike(r"\p{Nd}")
+    short = F.length(F.btrim(t, F.lit(" .,:;()[]{}"))) <= 12
+    return F.when(digit & ~letter, "numeric").when(letter & ~digit & short, "music_word").otherwise("metadata_mixed")
+
+
+def safe_filename(c: Column, most: int = 160, fallback: str = "converted_score") -> Column:
+    """Characters that file systems refuse become underscores; trimmed of spaces and dots, white space single, cut; ``fallback`` if nothing is left."""
+    clean = F.btrim(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1f]', "_"), F.lit(" ."))
+    return F.coalesce(F.nullif(F.left(F.regexp_replace(clean, r"\s+", " "), F.lit(most)), F.lit("")), F.lit(fallback))
+
+
+#: Words that titles share without being alike (fixed values).
+TITLE_STOP_WORDS = ["the", "pour", "par", "chez", "des", "les", "une"]
+
+
+def title_tokens(c: Column) -> Column:
+    """Distinct words of three and more Latin letters, without stop words."""
+    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-zà-öø-ÿ]{3,})"))), F.array(*[F.lit(w) for w in TITLE_STOP_WORDS]))
+
+
+def title_similarity(a: Column, b: Column) -> Column:
+    """Shared over all title tokens; 0 where a side has none."""
+    x, y = title_tokens(a), title_tokens(b)
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+
+def year_candidates(c: Column) -> Column:
+    """Sorted distinct years from 1800 to 1950 that stand alone among digits."""
+    years = F.regexp_extract_all(c, F.lit(r"(?<!\d)(1[89]\d{2})(?!\d)")).cast("array<int>")
+    return F.array_sort(F.array_distinct(F.filter(years, lambda y: y <= 1950)))
 
 
-def safe_filename(c: Column, most: int = 160) -> Column:
-    """Unsafe runs to one underscore, at most ``most`` characters, null if nothing is left."""
-    return F.nullif(F.left(F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_"), F.lit(most)), F.lit(""))
+def opening_tags(c: Column, name: str) -> Column:
+    """How often a tag opens, with or without attributes, closed in itself or not."""
+    return F.regexp_count(c, F.lit(rf"<{name}(?:\s[^<>]*?)?\s*/?>")).cast("long")
 
 
 def strict_boolean(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,23 +13,25 @@ def suppress(df: DataFrame, group: list[str], item: str, box: list[str], score:
     kinds = dict(df.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, item], ascending=[False, True])
-        kept: list[tuple] = []
-        ids = []
-        for i, x1, y1, x2, y2 in rows[[item, *box]].itertuples(index=False):
-            if all(_iou((x1, y1, x2, y2), k) < most for k in kept):
-                kept.append((x1, y1, x2, y2))
-                ids.append(i)
-        return rows[rows[item].isin(ids)][[*group, item]]
+        rows = rows.sort_values([score, item], ascending=[False, True], kind="stable")
+        x = rows[box].to_numpy(float)
+        left, kept = np.ones(len(x), bool), []
+        for i in range(len(x)):
+            if left[i]:
+                kept.append(i)
+                left[i + 1 :] &= box_iou(x[i], x[i + 1 :]) < most
+        return rows.iloc[kept][[*group, item]]
 
     out = ", ".join(f"{c} {kinds[c]}" for c in [*group, item])
     return df.select(*group, item, *box, score).groupBy(*group).applyInPandas(run, out)
 
 
-def _iou(a: tuple, b: tuple) -> float:
-    inter = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-    return inter / union if union > 0 else 0.0
+def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of one box with each of some; 0 where the union is empty."""
+    side = lambda k: np.maximum(0, np.minimum(a[k + 2], b[:, k + 2]) - np.maximum(a[k], b[:, k]))
+    inter = side(0) * side(1)
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) - inter
+    return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
 
 
 def running_median_clusters(values: Column, tolerance: float) -> Column:

@@ -39,7 +39,8 @@ def average_precision(df: DataFrame, group: list[str], score: str, truth: str, t
     best = rows.withColumn("p", F.max("p").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     # The best precision at recalls of k / 100 and more is that of the first row that reaches it.
     firsts = best.withColumn("low", F.coalesce(F.lag("tp").over(order), F.lit(-1))).where("tp > low")
-    points = firsts.withColumn("k", F.explode(F.sequence(F.when(F.col("low") < 0, 0).otherwise(F.floor(100 * F.col("low") / F.col("all")) + 1).cast("int"), F.floor(100 * F.col("tp") / F.col("all")).cast("int"))))
+    first, last = F.when(F.col("low") < 0, 0).otherwise(F.floor(100 * F.col("low") / F.col("all")) + 1).cast("int"), F.floor(100 * F.col("tp") / F.col("all")).cast("int")
+    points = firsts.withColumn("k", F.explode(F.when(first <= last, F.sequence(first, last))))  # a row may reach no new point
     return points.groupBy(*group).agg((F.sum("p") / 101).alias("ap"), F.max("all").alias("positives"))
 
 
@@ -59,12 +60,12 @@ def histogram_similarity(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.agg((1 - 0.5 * F.sum(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))))).alias("similarity"))
 
 
-def rarity_weights(df: DataFrame, row: str, label: str, power: float = 0.5, cap: float = 4.0) -> DataFrame:
-    """Per row the rarest label's (largest count / count) ^ power, capped, over the mean of all rows."""
-    pairs = df.select(row, label).distinct()
+def rarity_weights(every: DataFrame, df: DataFrame, row: str, label: str, power: float = 0.5, cap: float = 4.0) -> DataFrame:
+    """Half uniform, half by the rarest label's (largest count / count) ^ power, capped; 1 for rows of ``every`` without labels; over the mean of all rows."""
+    pairs = df.where(F.col(label).isNotNull()).select(row, label).distinct()
     counts = pairs.groupBy(label).agg(F.count("*").alias("n"))
-    ratio = counts.withColumn("w", F.least(F.lit(cap), F.pow(F.max("n").over(Window.partitionBy(F.lit(0))) / F.col("n"), F.lit(power))))
-    rows = pairs.join(ratio, label).groupBy(row).agg(F.max("w").alias("w"))
+    ratio = counts.withColumn("w", F.least(F.lit(cap), 0.5 + 0.5 * F.pow(F.max("n").over(Window.partitionBy(F.lit(0))) / F.col("n"), F.lit(power))))
+    rows = every.select(row).distinct().join(pairs.join(ratio, label).groupBy(row).agg(F.max("w").alias("w")), row, "left").select(row, F.coalesce("w", F.lit(1.0)).alias("w"))
     mean = rows.agg(F.avg("w").alias("mean"))
     return rows.join(F.broadcast(mean)).select(row, (F.col("w") / F.col("mean")).alias("weight"))  # one row is broadcast
 

@@ -36,10 +36,10 @@ def collapse_close(values: Column, tolerance: float) -> Column:
 
 
 def top_margin(df: DataFrame, group: list[str], score: str, item: str) -> DataFrame:
-    """The best item of each group and its lead over the runner-up."""
+    """The best item of each group and its lead over the runner-up, or over 0 where it is alone; at least 0."""
     w = Window.partitionBy(*group).orderBy(F.desc(score), item)
     rows = df.withColumn("n", F.row_number().over(w)).withColumn("next", F.lead(score).over(w))
-    return rows.where("n = 1").select(*group, item, score, (F.col(score) - F.col("next")).alias("margin"))
+    return rows.where("n = 1").select(*group, item, score, F.greatest(F.lit(0), F.col(score) - F.coalesce("next", F.lit(0))).alias("margin"))
 
 
 #: Which of equal moves is taken, first to last.
@@ -80,4 +80,5 @@ def align_groups(left: DataFrame, right: DataFrame, group: str, order: str, valu
         return pd.DataFrame({group: [key[0]] * len(pairs), "step": range(len(pairs)), "left_order": pd.array([None if i is None else x[i] for i, _ in pairs], "Int64"), "right_order": pd.array([None if j is None else y[j] for _, j in pairs], "Int64")})
 
     cols = [group, order, value]
-    return left.select(*cols).groupBy(group).cogroup(right.select(*cols).groupBy(group)).applyInPandas(run, f"{group} long, step long, left_order long, right_order long")
+    other = right.select(*[F.col(c).alias(c) for c in cols])  # columns of its own, as both sides may be of one table
+    return left.select(*cols).groupBy(group).cogroup(other.groupBy(group)).applyInPandas(run, f"{group} long, step long, left_order long, right_order long")

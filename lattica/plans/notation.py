@@ -200,10 +200,10 @@ def levenshtein(t):
     return t("customer").select("c_custkey", F.levenshtein("c_name", "c_mktsegment").alias("distance"))
 
 
-@query("STR19_years", r"SELECT o_orderkey, CAST(y AS INT) AS year FROM (SELECT o_orderkey, unnest(list_distinct(regexp_extract_all(CAST(o_orderdate AS VARCHAR) || ' 1234 no 99999', '\b(1[5-9][0-9]{2}|20[0-9]{2})\b'))) AS y FROM orders)")
+@query("STR19_years", r"SELECT o_orderkey, CAST(y AS INT) AS year FROM (SELECT o_orderkey, unnest(list_distinct(list_filter(regexp_extract_all('ed. ' || (1780 + o_orderkey % 240) || ', no ' || o_orderkey || 'x1850', '[0-9]+'), lambda w: regexp_full_match(w, '1[89][0-9]{2}') AND CAST(w AS BIGINT) <= 1950))) AS y FROM orders)")
 def years(t):
-    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" 1234 no 99999"))
-    return t("orders").select("o_orderkey", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(1[5-9][0-9]{2}|20[0-9]{2})\b"))).cast("array<int>")).alias("year"))
+    text = F.concat(F.lit("ed. "), 1780 + F.col("o_orderkey") % 240, F.lit(", no "), F.col("o_orderkey"), F.lit("x1850"))
+    return t("orders").select("o_orderkey", F.explode(S.year_candidates(text)).alias("year"))
 
 
 @query("MTH1_sigmoid", "SELECT c_custkey, round(1 / (1 + exp(-greatest(-40, least(40, c_acctbal / 100)))), 9) AS p FROM customer")
@@ -231,14 +231,14 @@ def tree(t):
     return t("part").select("p_partkey", N.tree_value(TREE, [F.col("p_size"), F.col("p_retailprice")]).alias("value"))
 
 
-@query("SCORE7_ctc", """WITH s AS (SELECT vec_id, unnest(range(0, len(embedding) // 8)) AS i, embedding FROM embeddings), b AS (SELECT vec_id, i, list_position(embedding[8 * i + 1 : 8 * i + 8], list_max(embedding[8 * i + 1 : 8 * i + 8])) - 1 AS c FROM s),
+@query("SCORE7_ctc", """WITH s AS (SELECT vec_id, unnest(range(0, len(embedding) // 12)) AS i, embedding FROM embeddings), b AS (SELECT vec_id, i, list_position(embedding[12 * i + 1 : 12 * i + 12], list_max(embedding[12 * i + 1 : 12 * i + 12])) - 1 AS c FROM s),
   k AS (SELECT vec_id, i, c, lag(c) OVER (PARTITION BY vec_id ORDER BY i) AS p FROM b)
-SELECT vec_id, coalesce(string_agg(CAST(c AS VARCHAR), ' ' ORDER BY i) FILTER (c <> 0 AND c IS DISTINCT FROM p), '') AS decoded FROM k GROUP BY 1""")
+SELECT vec_id, coalesce(string_agg(CAST(c AS VARCHAR), ' ' ORDER BY i) FILTER (c <> 11 AND c IS DISTINCT FROM p), '') AS decoded FROM embeddings LEFT JOIN k USING (vec_id) GROUP BY 1""")
 def ctc(t):
-    return t("embeddings").where(F.size("embedding") >= 8).select("vec_id", F.array_join(N.greedy_ctc(F.col("embedding"), 8).cast("array<string>"), " ").alias("decoded"))
+    return t("embeddings").select("vec_id", F.array_join(N.greedy_ctc(F.col("embedding"), 12).cast("array<string>"), " ").alias("decoded"))
 
 
-@query("SRC2_tokens", r"SELECT doc_id, kind, CAST(count(*) AS BIGINT) AS n, CAST(count(value) AS BIGINT) AS valued FROM (SELECT doc_id, split_part(w, '-', 1) AS kind, CASE WHEN contains(w, '-') THEN substr(w, instr(w, '-') + 1) END AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^\t\n\x0B\f\r ]+')) AS w FROM documents)) GROUP BY 1, 2")
+@query("SRC6_tokens", r"SELECT doc_id, kind, CAST(count(*) AS BIGINT) AS n, CAST(count(value) AS BIGINT) AS valued FROM (SELECT doc_id, split_part(w, '-', 1) AS kind, CASE WHEN contains(w, '-') THEN substr(w, instr(w, '-') + 1) END AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^\t\n\x0B\f\r ]+')) AS w FROM documents)) GROUP BY 1, 2")
 def token_counts(t):
     return tokens(t("documents"), "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.count("value").alias("valued"))
 

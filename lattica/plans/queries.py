@@ -122,11 +122,12 @@ def mean_of_non_null(t):
     return t("part").groupBy("p_brand").agg((F.coalesce(F.sum(big), F.lit(0)) / F.greatest(F.count(big), F.lit(1))).alias("mean_size"))
 
 
-@query("AGG45_rarity_weights", """WITH p AS (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem), c AS (SELECT l_returnflag, count(*) AS n FROM p GROUP BY 1),
-  r AS (SELECT l_returnflag, least(4.0, pow(max(n) OVER () / n, 0.5)) AS w FROM c), o AS (SELECT l_orderkey, max(w) AS w FROM p JOIN r USING (l_returnflag) GROUP BY 1)
-SELECT l_orderkey, round(w / (SELECT avg(w) FROM o), 9) AS weight FROM o""")
+@query("AGG45_rarity_weights", """WITH p AS (SELECT DISTINCT l_orderkey AS o_orderkey, l_returnflag FROM lineitem WHERE l_quantity > 40), c AS (SELECT l_returnflag, count(*) AS n FROM p GROUP BY 1),
+  r AS (SELECT l_returnflag, least(4.0, 0.5 + 0.5 * pow(max(n) OVER () / n, 0.5)) AS w FROM c), o AS (SELECT o_orderkey, coalesce(max(w), 1.0) AS w FROM orders LEFT JOIN p USING (o_orderkey) LEFT JOIN r USING (l_returnflag) GROUP BY 1)
+SELECT o_orderkey, round(w / (SELECT avg(w) FROM o), 9) AS weight FROM o""")
 def rarity(t):
-    return M.rarity_weights(t("lineitem"), "l_orderkey", "l_returnflag").select("l_orderkey", F.round("weight", 9).alias("weight"))
+    labels = t("lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
+    return M.rarity_weights(t("orders"), labels, "o_orderkey", "l_returnflag").select("o_orderkey", F.round("weight", 9).alias("weight"))
 
 
 @query("AGG46_mixture_weights", "SELECT doc_id, source, round(n_chars / sum(n_chars) OVER (PARTITION BY source) / count(DISTINCT source) OVER (), 12) AS weight FROM documents".replace("count(DISTINCT source) OVER ()", "(SELECT count(DISTINCT source) FROM documents)"))
@@ -136,9 +137,12 @@ def mixture(t):
     return t("documents").select("doc_id", "source", "n_chars").join(totals, "source").select("doc_id", "source", F.round(F.col("n_chars") / F.col("all") / F.col("sources"), 12).alias("weight"))
 
 
-@query("AGG42_tag_audit", r"SELECT page_id, CAST(len(regexp_extract_all(html, '<p[ >]')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(html, '<a[ >]')) AS BIGINT) AS links, CAST(2 * len(regexp_extract_all(html, '<p[ >]')) + len(regexp_extract_all(html, '<a[ >]')) AS BIGINT) AS richness FROM pages")
+_TAGS = r"CAST(len(regexp_extract_all(html, '<NAME(?:\s[^<>]*?)?\s*/?>')) AS BIGINT)"
+
+
+@query("AGG42_tag_audit", f"SELECT page_id, {_TAGS.replace('NAME', 'p')} AS paragraphs, {_TAGS.replace('NAME', 'a')} AS links, 2 * {_TAGS.replace('NAME', 'p')} + {_TAGS.replace('NAME', 'a')} AS richness FROM pages")
 def tags(t):
-    p, a = (F.regexp_count("html", F.lit(f"<{x}[ >]")).cast("long") for x in "pa")
+    p, a = (S.opening_tags(F.col("html"), x) for x in "pa")
     return t("pages").select("page_id", p.alias("paragraphs"), a.alias("links"), (2 * p + a).alias("richness"))
 
 
@@ -222,7 +226,7 @@ def context(t):
     return t("conversations").select("conv_id", "turn", F.lag("role").over(w).alias("before"), F.lead("role").over(w).alias("after"))
 
 
-@query("WIN7_top_margin", """SELECT l_orderkey, l_partkey, l_quantity, l_quantity - nxt AS margin FROM (SELECT l_orderkey, l_partkey, l_quantity, row_number() OVER w AS n, lead(l_quantity) OVER w AS nxt FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey)) WHERE n = 1""")
+@query("WIN7_top_margin", """SELECT l_orderkey, l_partkey, l_quantity, greatest(0, l_quantity - coalesce(nxt, 0)) AS margin FROM (SELECT l_orderkey, l_partkey, l_quantity, row_number() OVER w AS n, lead(l_quantity) OVER w AS nxt FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey)) WHERE n = 1""")
 def margins(t):
     return O.top_margin(t("lineitem"), ["l_orderkey"], "l_quantity", "l_partkey")
 
@@ -236,9 +240,9 @@ def gaps(t):
     return found.groupBy("l_orderkey", "run").agg(F.count("*").alias("n"), F.min("l_partkey").alias("lo"), F.max("l_partkey").alias("hi"))
 
 
-@query("WIN10_collapse_close")
+@query("WIN10_collapse_close", "SELECT l_orderkey, list_reduce(x, lambda a, v: CASE WHEN v - a[-1] > 150 THEN list_append(a, v) ELSE a END, [x[1]]) AS kept FROM (SELECT l_orderkey, list_sort(list(DISTINCT CAST(l_partkey AS DOUBLE))) AS x FROM lineitem GROUP BY 1)")
 def collapsed(t):
-    """Per order the distinct part keys further than 150 from the last one kept; depends on what was kept, so no SQL window."""
+    """Per order the distinct part keys further than 150 from the last one kept."""
     sizes = t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.col("l_partkey").cast("double"))).alias("x"))
     return sizes.select("l_orderkey", O.collapse_close(F.col("x"), 150.0).alias("kept"))
 
@@ -334,21 +338,24 @@ def boundary(t):
 @query("JON2_alignment")
 def aligned(t):
     """Users' event types of one day's halves, aligned; a dynamic programme, so no SQL."""
-    e = t("events").where("user_id % 10 = user_id % 10").select("user_id", "event_id", "event_type")
+    e = t("events").select("user_id", "event_id", "event_type")
     return O.align_groups(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", "event_id", "event_type")
 
 
-@query("STR6_confusion_skeleton", "SELECT p_partkey, replace(replace(replace(replace(replace(replace(lower(p_name), 'rn', 'm'), 'cl', 'd'), 'vv', 'w'), '0', 'o'), '1', 'l'), '5', 's') AS skeleton FROM part")
+@query("STR6_confusion_skeleton", r"SELECT doc_id, md5(regexp_replace(translate(replace(replace(replace(strip_accents(lower(text)), 'rn', 'm'), 'cl', 'd'), 'vv', 'w'), '01|52', 'ollsz'), '[^\p{L}\p{N}]', '', 'g')) AS skeleton FROM documents")
 def skeleton(t):
-    return t("part").select("p_partkey", S.confusion_skeleton(F.col("p_name")).alias("skeleton"))
+    return t("documents").select("doc_id", F.md5(S.confusion_skeleton(F.col("text"))).alias("skeleton"))
+
+
+_FAMILY = r"CASE WHEN d AND NOT a THEN 'numeric' WHEN a AND NOT d AND length(trim(t, ' .,:;()[]{}')) <= 12 THEN 'music_word' ELSE 'metadata_mixed' END"
 
 
-@query("STR15_text_family", "SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^[0-9]+$') THEN 'numeric' WHEN regexp_matches(p_name, '^[A-Za-z]{1,6}$') THEN 'short_word' ELSE 'mixed' END AS family FROM part")
+@query("STR15_text_family", rf"SELECT conv_id, turn, {_FAMILY} AS family FROM (SELECT conv_id, turn, t, regexp_matches(t, '\p{{L}}') AS a, regexp_matches(t, '\p{{Nd}}') AS d FROM (SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM conversations))")
 def family(t):
-    return t("part").select("p_partkey", S.text_family(F.col("p_name")).alias("family"))
+    return t("conversations").select("conv_id", "turn", S.text_family(F.col("text")).alias("family"))
 
 
-@query("STR18_safe_filename", "SELECT page_id, nullif(left(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), 160), '') AS name FROM pages")
+@query("STR18_safe_filename", r"""SELECT page_id, coalesce(nullif(left(regexp_replace(trim(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), ' .'), '\s+', ' ', 'g'), 160), ''), 'converted_score') AS name FROM pages""")
 def filename(t):
     return t("pages").select("page_id", S.safe_filename(F.col("url")).alias("name"))
 
@@ -358,12 +365,10 @@ def normal(t):
     return t("documents").select("doc_id", F.md5(S.normalised_text(F.col("text"))).alias("digest"))
 
 
-@query("STR14_title_jaccard", """WITH k AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS b FROM part)
-SELECT p_partkey, len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1) AS jaccard FROM k""")
+@query("STR14_title_jaccard", """WITH k AS (SELECT p_partkey, list_filter(list_distinct(regexp_extract_all(lower(p_name), '[a-zà-öø-ÿ]{3,}')), lambda w: w NOT IN ('the', 'pour', 'par', 'chez', 'des', 'les', 'une')) AS a, list_filter(list_distinct(regexp_extract_all(lower(p_type), '[a-zà-öø-ÿ]{3,}')), lambda w: w NOT IN ('the', 'pour', 'par', 'chez', 'des', 'les', 'une')) AS b FROM part)
+SELECT p_partkey, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS jaccard FROM k""")
 def titles(t):
-    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)")))
-    k = t("part").select("p_partkey", tokens("p_name").alias("a"), tokens("p_type").alias("b"))
-    return k.select("p_partkey", (F.size(F.array_intersect("a", "b")) / F.greatest(F.size(F.array_union("a", "b")), F.lit(1))).alias("jaccard"))
+    return t("part").select("p_partkey", S.title_similarity(F.col("p_name"), F.col("p_type")).alias("jaccard"))
 
 
 @query("GEO1_box_iou", """WITH b AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS x1, CAST(l_linenumber * 3 AS INT) AS y1, CAST(l_quantity AS INT) + 20 AS x2, CAST(l_linenumber * 3 AS INT) + 9 AS y2 FROM lineitem),

@@ -1,10 +1,12 @@
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.functions.notation import tree_is_valid, tree_value
-from lattica.operators import clusters
+from lattica.functions import scalars as S
+from lattica.functions.notation import greedy_ctc, tree_is_valid, tree_value
+from lattica.operators import clusters, matching, metrics
 from lattica.plans.registry import ORACLE_SQL, QUERIES
 from lattica.sources.scores import notes_of, read_scores
 from lattica.streaming import rates
@@ -20,7 +22,7 @@ SCORE = """<score-partwise><part-list><score-part id="P1"/></part-list><part id=
 
 
 def test_registered():
-    assert {"SRC2_tokens", "CLU1_suppression", "SCORE3_tree"} <= set(QUERIES) and set(ORACLE_SQL) <= set(QUERIES)
+    assert {"SRC6_tokens", "CLU1_suppression", "SCORE3_tree"} <= set(QUERIES) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_notes():
@@ -41,19 +43,50 @@ def test_trees(spark):
     assert tree_is_valid([leaf], 0) and not tree_is_valid(loop, 1) and not tree_is_valid([leaf, leaf], 0)
     node = [{"feature": 0, "threshold": 1.0, "left": 1, "right": 2, "value": 0}, leaf, leaf | {"value": 3.0}]
     rows = spark.createDataFrame([(1.0,), (1.5,), (float("nan"),), (None,)], "x double").select(tree_value(node, [F.col("x")]).alias("v"), tree_value(loop, [F.col("x")]).alias("w")).collect()
-    assert [r["v"] for r in rows] == [2.0, 3.0, 3.0, 3.0] and {r["w"] for r in rows} == {0.0}
-
-
-def test_suppression(spark, sf):
-    left = {(r.l_orderkey, r.l_returnflag, r.item) for r in QUERIES["CLU1_suppression"](spark, sf).collect()}
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").toPandas()
-    for (order, flag), g in rows.groupby(["l_orderkey", "l_returnflag"]):
-        kept = []
-        for r in g.sort_values(["l_extendedprice", "l_partkey"], ascending=[False, True]).itertuples():
-            box = (r.l_quantity, r.l_linenumber * 3.0, r.l_quantity + 20, r.l_linenumber * 3.0 + 9)
-            if all(clusters._iou(box, k) < 0.3 for k in kept):
-                kept.append(box)
-                assert (order, flag, r.l_partkey) in left
+    assert [r["v"] for r in rows] == [2.0, 3.0, 0.0, 0.0] and {r["w"] for r in rows} == {0.0}
+
+
+def test_suppression(spark):
+    rows = [("a", 1, 0.0, 0.0, 10.0, 10.0, 5.0), ("a", 1, 0.0, 0.0, 10.0, 10.0, 5.0), ("a", 2, 1.0, 0.0, 11.0, 10.0, 9.0), ("a", 3, 30.0, 0.0, 40.0, 10.0, 1.0), ("b", 1, 0.0, 0.0, 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "page string, item int, x1 double, y1 double, x2 double, y2 double, score double")
+    got = sorted(tuple(r) for r in clusters.suppress(df, ["page"], "item", ["x1", "y1", "x2", "y2"], "score", 0.5).collect())
+    assert got == [("a", 2), ("a", 3), ("b", 1)]
+    twins = clusters.suppress(df.where("item = 1 and page = 'a'"), ["page"], "item", ["x1", "y1", "x2", "y2"], "score", 0.5)
+    assert twins.count() == 1
+
+
+def test_average_precision_of_many_positives(spark):
+    rows = [(i, 1000.0 - i, int(i % 3 != 1)) for i in range(600)]
+    got = metrics.average_precision(spark.createDataFrame(rows, "id int, s double, y int").withColumn("g", F.lit(1)), ["g"], "s", "y", "id").first()
+    tp = np.cumsum([y for _, _, y in rows])
+    p, r = tp / np.arange(1, 601), tp / tp[-1]
+    assert abs(got.ap - np.mean([p[r >= k / 100].max() for k in range(101)])) < 1e-12 and got.ap <= 1
+
+
+def test_ctc(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([9.0, 0.0, 0.0, 9.0, 0.0, 0.0, 0.0, 0.0, 9.0, 9.0, 0.0, 0.0, 0.0, 9.0, 0.0],), (None,)], "x array<double>")
+    assert [r[0] for r in df.select(greedy_ctc(F.col("x"), 3)).collect()][:2] == [[], [0, 0, 1]]
+
+
+def test_text_rules(spark):
+    df = spark.createDataFrame([("  12 / 8 ", "Allegro"), ("Moderato, ", "a b 3"), ("A very long piece of words", "Crème vvord |2"), ("a<b>:c . ", " . "), ("no. 1849, 1850-1951x1790", "The Études for Piano")], "a string, b string")
+    got = df.select(S.text_family(F.col("a")), S.safe_filename(F.col("a")), S.confusion_skeleton(F.col("b")), S.year_candidates(F.col("a")), S.title_similarity(F.col("b"), F.lit("études the solo"))).collect()
+    assert [r[0] for r in got] == ["numeric", "music_word", "metadata_mixed", "music_word", "metadata_mixed"]
+    assert [r[1] for r in got][3] == "a_b__c" and [r[2] for r in got][2] == "cremewordlz"
+    assert got[4][3] == [1849, 1850] and got[4][4] == 1 / 4 and got[3][4] == 0.0
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_matchings(seed):
+    rng = np.random.default_rng(seed)
+    iou = np.round(rng.random((rng.integers(0, 6), rng.integers(0, 6))) * rng.integers(0, 2, 1), 1)
+    best = max((sum(iou[i, j] >= 0.5 for i, j in zip(rows, columns)) for k in range(min(iou.shape) + 1) for rows in itertools.combinations(range(iou.shape[0]), k) for columns in itertools.permutations(range(iou.shape[1]), k)), default=0)
+    found = matching.maximum_matches(iou, 0.5)
+    assert len(found) == best and len({i for i, _ in found}) == len({j for _, j in found}) == best and all(iou[p] >= 0.5 for p in found)
+    taken = set()
+    for i, j in matching.greedy_matches(iou, 0.5):
+        assert iou[i, j] >= 0.5 and all(iou[i, c] <= iou[i, j] for c in range(iou.shape[1]) if c not in taken)
+        taken.add(j)
 
 
 def test_running_median(spark):
