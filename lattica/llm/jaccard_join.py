@@ -114,11 +114,8 @@ def _adding(batches):
 class Rarity:
     """Classes of doubling counts, one byte a counter; ``salts`` says over how many tasks a class's lists are dealt."""
 
-    def __init__(self, counts: np.ndarray, list_rows: int):
-        # Counts that chance alone explains are one class.
-        mean = float(counts.mean())
-        usual = mean + 4 * mean**0.5 + 2
-        self.classes = np.ceil(np.log2(np.maximum(counts, usual) / usual) * 2).astype(np.uint8)
+    def __init__(self, classes: np.ndarray, usual: float, list_rows: int):
+        self.classes = classes
         self.salts = np.ceil(usual * 2 ** (np.arange(256) / 2).clip(max=60) / list_rows).astype(np.int64)
         self.salts[0] = 1
 
@@ -126,17 +123,30 @@ class Rarity:
         return self.classes[counter_of(s)]
 
 
-def rarity(sketches: DataFrame, list_rows: int) -> Rarity:
+def _classing(usual: float):
+    """Summed counts to classes; those that chance alone explains are one class."""
+
+    def run(batches):
+        for batch in _adding(batches):
+            found = [np.ceil(np.log2(np.maximum(np.frombuffer(x, np.uint32), usual) / usual) * 2).astype(np.uint8).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["place", "counts"])
+
+    return run
+
+
+def rarity(measured: DataFrame, list_rows: int) -> Rarity:
     """From the sum of all tasks' sketches."""
-    n = partitions(sketches)
-    rows = sketches.where("place is not null").select("place", "counts").repartition(n).sortWithinPartitions("place")
+    n = partitions(measured)
+    mean = float(measured.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) / SKETCH
+    usual = mean + 4 * mean**0.5 + 2
+    rows = measured.where("place is not null").select("place", "counts").repartition(n).sortWithinPartitions("place")
     rows = map_batches(rows, _adding, "place int, counts binary")  # one row a place and task
-    rows = map_batches(rows.repartition(SPARE, "place").sortWithinPartitions("place"), _adding, "place int, counts binary")
-    out = np.zeros(SKETCH, np.uint32)
+    rows = map_batches(rows.repartition(SPARE, "place").sortWithinPartitions("place"), _classing(usual), "place int, counts binary")
+    out = np.zeros(SKETCH, np.uint8)
     step = SKETCH // SPARE
-    for row in rows.toLocalIterator():  # 16 MB in all, whatever the input
-        out[row["place"] * step : (row["place"] + 1) * step] = np.frombuffer(row["counts"], np.uint32)
-    return Rarity(out, list_rows)
+    for row in rows.collect():  # 4 MB, whatever the input
+        out[row["place"] * step : (row["place"] + 1) * step] = np.frombuffer(row["counts"], np.uint8)
+    return Rarity(out, usual, list_rows)
 
 
 def light_cost(s: int) -> int:
