@@ -241,9 +241,10 @@ def dedup(docs: DataFrame, batches: int = 4, with_text: bool = False) -> DataFra
     index.close()
     windows = scratch.save(map_batches(texts, _windowing(bloom), "w1 long, w2 long, doc_id long, t long, at int"), "windows")
     heads = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    heads = scratch.save(heads, "heads")  # so that the join reads two plain shuffles, which adaptive execution can split where a window is hot
     repeats = windows.join(heads, ["w1", "w2"]).where("doc_id > first_id").groupBy(*row).agg(F.collect_set("at").alias("starts"))
     repeats = scratch.save(repeats, "repeats")
-    scratch.drop("windows", *[f"shared{i}" for i in range(len(edges) + 1)])
+    scratch.drop("windows", "heads", *[f"shared{i}" for i in range(len(edges) + 1)])
     hit = texts.join(_few(repeats.select(*row)), row, "left_semi").dropDuplicates(row)
     cut = map_batches(hit.join(repeats, row).select(*row, "text", "starts"), _removing(with_text), "doc_id long, t long, n_removed long, kept_sha256 string, kept string")
     out = measured.join(cut, row, "left")
