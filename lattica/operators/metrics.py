@@ -16,6 +16,28 @@ def multiset_overlap(reference: DataFrame, candidate: DataFrame, case: str, key:
     return both.groupBy(case).agg(F.sum(F.least("r", "c")).alias("matched"), F.sum("r").alias("reference"), F.sum("c").alias("candidate"))
 
 
+def overlap_of_sides(df: DataFrame, case: str, key: list[str], reference: Column, candidate: Column) -> DataFrame:
+    """multiset_overlap of two sides of one table, which is read and shuffled once. A row may be on both sides or none."""
+    n = lambda side: F.count(F.when(side, 1))
+    both = df.groupBy(case, *key).agg(n(reference).alias("r"), n(candidate).alias("c"))
+    return both.groupBy(case).agg(F.sum(F.least("r", "c")).alias("matched"), F.sum("r").alias("reference"), F.sum("c").alias("candidate"))
+
+
+def most_at_once(df: DataFrame, group: str, voice: str, start: str, end: str) -> DataFrame:
+    """Per group the most distinct voices that sound at one time, of half-open intervals; those without length don't count.
+
+    A voice's intervals are merged first; then starts add and ends take away, ends first at one time.
+    Times may be of any ordered type, and the cost doesn't depend on how long intervals are.
+    """
+    own = Window.partitionBy(group, voice).orderBy(start, end)
+    rows = df.where(F.col(start) < F.col(end)).withColumn("reach", F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("island", F.sum(F.when(F.col(start) <= F.col("reach"), 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = rows.groupBy(group, voice, "island").agg(F.min(start).alias("a"), F.max(end).alias("b"))
+    events = merged.select(group, F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("step")), F.struct(F.col("b").alias("x"), F.lit(-1).alias("step")))).alias("e")).select(group, "e.*")
+    sweep = Window.partitionBy(group).orderBy("x", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.withColumn("n", F.sum("step").over(sweep)).groupBy(group).agg(F.max("n").alias("voices"))
+
+
 def micro_rates(counts: DataFrame, by: list[str] = ()) -> DataFrame:
     """Sums first, rates after: precision, recall, F1 of counts and of rates, with their conventions for empty sides."""
     s = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("matched", "reference", "candidate")])

@@ -46,36 +46,60 @@ def top_margin(df: DataFrame, group: list[str], score: str, item: str) -> DataFr
 MATCH_DELETE_INSERT, MATCH_INSERT_DELETE = "mdi", "mid"
 
 
+#: Cells of the table that one alignment may have: 256 MB.
+MOST_CELLS = 1 << 25
+
+
 def align(left: list, right: list, cost: Callable[[object, object], float], gap: float, ties: str = MATCH_DELETE_INSERT) -> tuple[list[tuple], float]:
     """Global alignment of least cost: pairs (i, j) with None for gaps, and the total."""
-    n, m = len(left), len(right)
-    total = np.zeros((n + 1, m + 1))
-    total[:, 0], total[0, :] = np.arange(n + 1) * gap, np.arange(m + 1) * gap
+    return align_costs(np.array([[cost(x, y) for y in right] for x in left], float).reshape(len(left), len(right)), gap, ties)
+
+
+def align_costs(cost: np.ndarray, gap: float, ties: str = MATCH_DELETE_INSERT) -> tuple[list[tuple], float]:
+    """The same from the costs of all matches. A row of the table at a time: an insertion only adds a gap, so it is a running minimum."""
+    n, m = cost.shape
+    if (n + 1) * (m + 1) > MOST_CELLS:
+        raise ValueError(f"sequences of {n} and {m} items are too long to align")
+    steps = np.arange(m + 1) * gap
+    total = np.empty((n + 1, m + 1))
+    total[0] = steps
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            total[i, j] = min(total[i - 1, j - 1] + cost(left[i - 1], right[j - 1]), total[i - 1, j] + gap, total[i, j - 1] + gap)
+        row = total[i - 1] + gap
+        row[1:] = np.minimum(row[1:], total[i - 1, :-1] + cost[i - 1])
+        total[i] = np.minimum.accumulate(row - steps) + steps
     pairs, i, j = [], n, m
     while i or j:
         moves = {}
         if i and j:
-            moves["m"] = total[i - 1, j - 1] + cost(left[i - 1], right[j - 1])
+            moves["m"] = total[i - 1, j - 1] + cost[i - 1, j - 1]
         if i:
             moves["d"] = total[i - 1, j] + gap
         if j:
             moves["i"] = total[i, j - 1] + gap
         least = min(moves.values())
-        move = next(t for t in ties if t in moves and moves[t] <= least + 1e-12)
+        move = next(t for t in ties if t in moves and moves[t] <= least + 1e-9)
         i, j = i - (move in "md"), j - (move in "mi")
         pairs.append((i if move in "md" else None, j if move in "mi" else None))
     return pairs[::-1], float(total[n, m])
 
 
-def align_groups(left: DataFrame, right: DataFrame, group: str, order: str, value: str, gap: float = 1.0, ties: str = MATCH_DELETE_INSERT) -> DataFrame:
-    """group, left_order, right_order, step: the alignment of two sequences of each group, by 0/1 substitution. A group is one sequence, not an unbounded set."""
+def position_penalty(n: int, m: int, most: float = 0.08, slope: float = 0.12) -> np.ndarray:
+    """How far items' relative places differ, at most ``most``."""
+    return np.minimum(most, slope * np.abs((np.arange(n) + 0.5)[:, None] / max(n, 1) - (np.arange(m) + 0.5)[None] / max(m, 1)))
+
+
+def align_groups(left: DataFrame, right: DataFrame, group: str, order: str, value: str, gap: float = 1.0, ties: str = MATCH_DELETE_INSERT, placed: bool = False) -> DataFrame:
+    """group, left_order, right_order, step: the alignment of two sequences of each group, by 0/1 substitution, with ``placed`` plus a penalty for place.
+
+    A group is one sequence, not an unbounded set; one beyond MOST_CELLS ends the job.
+    """
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values(order), b.sort_values(order)
-        pairs, _ = align(a[value].tolist(), b[value].tolist(), lambda x, y: float(x != y), gap, ties)
+        cost = (a[value].to_numpy(object)[:, None] != b[value].to_numpy(object)[None]).astype(float)
+        if placed:
+            cost = np.minimum(1.0, cost + position_penalty(len(a), len(b)))
+        pairs, _ = align_costs(cost, gap, ties)
         x, y = a[order].tolist(), b[order].tolist()
         return pd.DataFrame({group: [key[0]] * len(pairs), "step": range(len(pairs)), "left_order": pd.array([None if i is None else x[i] for i, _ in pairs], "Int64"), "right_order": pd.array([None if j is None else y[j] for _, j in pairs], "Int64")})
 

@@ -25,11 +25,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _sides(t):
-    rows = t("lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber")
-    return rows.where("l_linenumber % 2 = 1"), rows.where("l_linenumber % 2 = 0")
-
-
 _OVERLAP = """
   SELECT l_orderkey, sum(least(r, c)) AS matched, sum(r) AS reference, sum(c) AS candidate FROM (
     SELECT l_orderkey, l_returnflag, l_linestatus, count(*) FILTER (l_linenumber % 2 = 1) AS r, count(*) FILTER (l_linenumber % 2 = 0) AS c
@@ -38,7 +33,8 @@ _OVERLAP = """
 
 @query("AGG5_multiset_overlap", f"SELECT l_orderkey, CAST(matched AS BIGINT) AS matched, CAST(reference AS BIGINT) AS reference, CAST(candidate AS BIGINT) AS candidate FROM ({_OVERLAP})")
 def overlap(t):
-    return M.multiset_overlap(*_sides(t), "l_orderkey", ["l_returnflag", "l_linestatus"])
+    odd = F.col("l_linenumber") % 2 == 1
+    return M.overlap_of_sides(t("lineitem"), "l_orderkey", ["l_returnflag", "l_linestatus"], odd, ~odd)
 
 
 _RATES = """CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(reference) AS BIGINT) AS reference, CAST(sum(candidate) AS BIGINT) AS candidate,
@@ -149,10 +145,8 @@ def tags(t):
 @query("AGG6_max_simultaneous", """WITH e AS (SELECT l_suppkey, l_partkey, l_linenumber AS a, l_linenumber + CAST(l_quantity AS INT) % 4 AS b FROM lineitem), x AS (SELECT DISTINCT l_suppkey, a AS x FROM e)
 SELECT l_suppkey, CAST(max(n) AS BIGINT) AS voices FROM (SELECT x.l_suppkey, x.x, count(DISTINCT e.l_partkey) AS n FROM x JOIN e ON x.l_suppkey = e.l_suppkey AND e.a <= x.x AND x.x < e.b GROUP BY 1, 2) GROUP BY 1""")
 def simultaneous(t):
-    e = t("lineitem").select("l_suppkey", "l_partkey", F.col("l_linenumber").alias("a"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 4).alias("b")).where("a < b")
-    x = t("lineitem").select("l_suppkey", F.col("l_linenumber").alias("x")).distinct()
-    held = e.select("l_suppkey", "l_partkey", F.explode(F.sequence("a", F.col("b") - 1)).alias("x"))
-    return held.join(x, ["l_suppkey", "x"], "left_semi").groupBy("l_suppkey", "x").agg(F.count_distinct("l_partkey").alias("n")).groupBy("l_suppkey").agg(F.max("n").alias("voices"))
+    e = t("lineitem").select("l_suppkey", "l_partkey", F.col("l_linenumber").alias("a"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 4).alias("b"))
+    return M.most_at_once(e, "l_suppkey", "l_partkey", "a", "b")
 
 
 _VOTES = "SELECT l_orderkey, l_suppkey % 3 AS family, l_returnflag AS sig, l_quantity AS score FROM lineitem"
@@ -335,11 +329,27 @@ def boundary(t):
     return rows.join(nxt, ["conv_id", "turn"]).where("role <> next").select("conv_id", "turn", F.lit(1).cast("long").alias("pairs"))
 
 
+def _aligned(t, **options):
+    e = t("events").select("user_id", "event_id", "event_type")
+    return O.align_groups(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", "event_id", "event_type", **options)
+
+
 @query("JON2_alignment")
 def aligned(t):
-    """Users' event types of one day's halves, aligned; a dynamic programme, so no SQL."""
-    e = t("events").select("user_id", "event_id", "event_type")
-    return O.align_groups(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", "event_id", "event_type")
+    """Users' even events against odd ones: gap 0.62, a penalty for place; a dynamic programme, so tested against brute force."""
+    return _aligned(t, gap=0.62, placed=True)
+
+
+@query("JON5_note_alignment")
+def aligned_notes(t):
+    """Gap 0.92; of equal moves a match, then an insertion, then a deletion."""
+    return _aligned(t, gap=0.92, ties=O.MATCH_INSERT_DELETE)
+
+
+@query("JON6_token_alignment")
+def aligned_tokens(t):
+    """0 and 1, gap 1; of equal moves a match, then a deletion."""
+    return _aligned(t)
 
 
 @query("STR6_confusion_skeleton", r"SELECT doc_id, md5(regexp_replace(translate(replace(replace(replace(strip_accents(lower(text)), 'rn', 'm'), 'cl', 'd'), 'vv', 'w'), '01|52', 'ollsz'), '[^\p{L}\p{N}]', '', 'g')) AS skeleton FROM documents")

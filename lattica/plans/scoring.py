@@ -10,6 +10,7 @@ from lattica.functions import scalars as S
 from lattica.operators import matching as T
 from lattica.plans.notation import TREE
 from lattica.plans.queries import query
+from lattica.sources import tables
 
 _KEY = ["l_orderkey", "l_linenumber"]
 
@@ -305,3 +306,47 @@ def greedy(t):
     """The same boxes, each odd line's taking the best one left; depends on what was taken, so tested against brute force."""
     b = _sides(t).withColumn("score", F.col("x2").cast("double"))
     return T.match_boxes(b.where("n % 2 = 0"), b.where("n % 2 = 1"), "l_orderkey", "n", "score", 0.1)
+
+
+@query("FLT26_page_shape", "SELECT p_partkey, p_size % 5 > 0 AND p_partkey % 40 > 0 AND greatest(p_size % 5 * 10, p_partkey % 40) / least(p_size % 5 * 10, p_partkey % 40) <= 3 AS supported FROM part".replace("/ least(p_size % 5 * 10, p_partkey % 40)", "/ nullif(least(p_size % 5 * 10, p_partkey % 40), 0)"))
+def page_shapes(t):
+    return t("part").select("p_partkey", K.page_shape_supported(F.col("p_size") % 5 * 10, F.col("p_partkey") % 40).alias("supported"))
+
+
+_GRAMS = "list_distinct(list_transform(range(1, greatest(length('  ' || {c} || '  ') - 1, 2)), lambda i: substr('  ' || {c} || '  ', i, 3)))"
+
+
+def _shortlist_sql(grams: float, lengths: float, first: float) -> str:
+    a, b = _GRAMS.format(c="p.v"), _GRAMS.format(c="n.v")
+    return f"""WITH n AS (SELECT n_name, lower(n_name) AS v FROM nation), p AS (SELECT DISTINCT lower(p_type) AS v FROM part), s AS (SELECT p.v AS observed, n_name, round({grams} * len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) + {lengths} * least(length(p.v), length(n.v)) / greatest(length(p.v), length(n.v)) + CASE WHEN left(p.v, 1) = left(n.v, 1) THEN {first} ELSE 0 END, 9) AS score FROM p, n)
+SELECT observed, n_name, score FROM (SELECT *, row_number() OVER (PARTITION BY observed ORDER BY score DESC, n_name) AS k FROM s) WHERE k <= 5"""
+
+
+def _shortlist(t, grams: float, lengths: float, first: float):
+    """The lexicon is a fixed word list (25 rows here) that stays with the code, as an array; observed texts are not paired across tasks."""
+    words = F.broadcast(t("nation").agg(F.collect_list(F.struct("n_name", F.lower("n_name").alias("v"), K.trigrams(F.lower("n_name")).alias("g"))).alias("lexicon")))
+    seen = t("part").select(F.lower("p_type").alias("observed")).distinct().withColumn("grams", K.trigrams(F.col("observed")))
+    score = lambda w: F.round(K.shortlist_score(F.col("observed"), w["v"], F.col("grams"), w["g"], grams, lengths, first), 9)
+    ranked = seen.join(words).select("observed", F.slice(F.array_sort(F.transform("lexicon", lambda w: F.struct((-score(w)).alias("s"), w["n_name"].alias("n_name")))), 1, 5).alias("best"))
+    return ranked.select("observed", F.explode("best").alias("b")).select("observed", F.col("b.n_name").alias("n_name"), (-F.col("b.s")).alias("score"))
+
+
+@query("STR12_phrase_shortlist", _shortlist_sql(0.7, 0.3, 0.15))
+def phrases(t):
+    return _shortlist(t, 0.7, 0.3, 0.15)
+
+
+@query("STR13_token_shortlist", _shortlist_sql(0.72, 0.28, 0.12))
+def token_shortlist(t):
+    return _shortlist(t, 0.72, 0.28, 0.12)
+
+
+@query("SRC9_reference_records", "SELECT p_partkey, unnest(['OTL', 'COM']) AS name, unnest([p_name, CASE WHEN p_size > 25 THEN 'a: b' ELSE p_type END]) AS value FROM part")
+def records(t):
+    text = F.concat(F.lit("!!!OTL: "), "p_name", F.lit("\n**kern\n!!! no record\n!!!COM : "), F.when(F.col("p_size") > 25, "a: b").otherwise(F.col("p_type")), F.lit("\n!!!OTL: later"))
+    return tables.reference_records(t("part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+
+
+@query("SNK2_canonical_json", "SELECT n_nationkey, '{\"n_name\":' || to_json(n_name) || ',\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}' AS json FROM nation")
+def jsons(t):
+    return t("nation").select("n_nationkey", tables.canonical_json("n_regionkey", "n_name", "n_nationkey").alias("json"))
