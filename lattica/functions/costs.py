@@ -118,6 +118,24 @@ def fragment_visible(box: list[Column], crop: list[Column], least: float, least_
     return some & (enough | (long_span & oversized & axes))
 
 
+def page_shape_supported(width: Column, height: Column, most: float = 3.0) -> Column:
+    """Whether the longer side is at most ``most`` times the shorter; false without sides."""
+    return F.when((width > 0) & (height > 0), F.greatest(width, height) / F.least(width, height) <= most).otherwise(False)
+
+
+def trigrams(c: Column) -> Column:
+    """Distinct runs of three characters of a text between two spaces on each side."""
+    padded = F.concat(F.lit("  "), c, F.lit("  "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3))))
+
+
+def shortlist_score(a: Column, b: Column, a_grams: Column, b_grams: Column, grams: float = 0.7, lengths: float = 0.3, first: float = 0.15) -> Column:
+    """Weighted trigram Jaccard and ratio of lengths, and a bonus for the same first letter."""
+    jaccard = F.size(F.array_intersect(a_grams, b_grams)) / F.size(F.array_union(a_grams, b_grams))
+    ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    return grams * jaccard + lengths * ratio + F.when(F.left(a, F.lit(1)) == F.left(b, F.lit(1)), first).otherwise(0.0)
+
+
 def natural_key(c: Column, width: int = 20) -> Column:
     """A string that sorts as text with numbers by value: lower case, runs of digits padded to ``width``."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+|[^0-9]+)"))
