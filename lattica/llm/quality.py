@@ -79,14 +79,20 @@ class RatioModel:
 
     TARGET = 2  # kind = 2 * quality + toxic
 
-    def __init__(self, languages: dict, counts: np.ndarray, documents: np.ndarray, raw: np.ndarray, prior: tuple[float, float] = (4.0, 500.0), share_prior: float = 20.0):
-        self.languages, buckets = languages, counts.shape[2]
+    def __init__(self, languages: dict, labelled: list[tuple[np.ndarray, np.ndarray]], documents: np.ndarray, raw: np.ndarray, prior: tuple[float, float] = (4.0, 500.0), share_prior: float = 20.0):
+        """``labelled``: for each kind the distinct places in ``raw``, laid flat, and the kind's counts there; one kind at a time is made dense."""
+        self.languages, buckets = languages, raw.shape[1]
         self.added = np.repeat(np.array(prior, np.float32), buckets // 2)
-        self.log_ratio = np.empty(counts.shape, np.float32)
-        self.sample, self.raw = counts.sum(axis=1).astype(np.float32), raw.astype(np.float32)
-        self.sample_size, self.raw_size = counts.sum(axis=(1, 2)), raw.sum(axis=1)
-        for kind in range(counts.shape[1]):
-            c = counts[:, kind]
+        self.log_ratio = np.empty((len(raw), len(labelled), buckets), np.float32)
+        self.raw, self.raw_size = raw.astype(np.float32), raw.sum(axis=1)
+        sample = np.zeros(raw.shape)
+        for at, n in labelled:
+            sample.ravel()[at] += n
+        self.sample, self.sample_size = sample.astype(np.float32), sample.sum(axis=1)
+        del sample
+        for kind, (at, n) in enumerate(labelled):
+            c = np.zeros(raw.shape)
+            c.ravel()[at] = n
             expected = c.sum(axis=1, keepdims=True) * (self.sample / np.maximum(1, self.sample_size)[:, None])
             elsewhere = (c.sum(axis=0) - c + self.added) / (expected.sum(axis=0) - expected + self.added)
             trust = share_prior / (share_prior + documents[:, kind, None])
@@ -120,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, buckets: int
     # At most fit_rows ids of 12 bytes: broadcasting them keeps the texts where they are.
     rows = docs.select(F.col("doc_id").alias("__id"), lang.alias("lang"), F.col("text").cast("binary").alias("text")).join(F.broadcast(kinds), "__id", "left")
     shares = rows.groupBy("lang").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("kind") == k, 1)).alias(f"k{k}") for k in range(4)])
-    shares = Scratch(docs.sparkSession, "quality-fit").save(shares, "shares")
+    scratch = Scratch(docs.sparkSession, "quality-fit")
+    shares = scratch.save(shares, "shares")
     common = shares.orderBy(F.desc("n"), F.col("lang").asc_nulls_last()).limit(languages).collect()
     # Place 0 is for languages that aren't among the common ones.
     places = {row["lang"]: i + 1 for i, row in enumerate(common)}
@@ -135,11 +142,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, buckets: int
     # Every document is counted once, those without a label in the sample as a fifth kind.
     rows = rows.select((place * 5 + F.coalesce("kind", F.lit(4))).cast("int").alias("kind"), "text")
     sums = map_batches(rows, _counting(buckets, 5 * len(documents)), "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()  # at most 5 * (languages + 1) * buckets rows, whatever the input
-    counts = np.zeros(5 * len(documents) * buckets)
-    counts[got["at"].to_numpy()] = got["n"].to_numpy()
-    counts = counts.reshape(len(documents), 5, buckets)
-    return RatioModel(places, counts[:, :4], documents, counts.sum(axis=1))
+    place, kind, bucket = F.expr(f"at div {5 * buckets}"), F.expr(f"at div {buckets} % 5"), F.expr(f"at % {buckets}")
+    sums = scratch.save(sums.select((place * buckets + bucket).cast("int").alias("at"), kind.cast("int").alias("kind"), "n"), "sums")
+
+    def counts(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """At most (languages + 1) * buckets rows of 12 bytes, whatever the input."""
+        got = df.select("at", "n").toArrow()
+        return got["at"].to_numpy(), got["n"].to_numpy()
+
+    raw = np.zeros((len(documents), buckets))
+    at, n = counts(sums.groupBy("at").agg(F.sum("n").alias("n")))
+    raw.ravel()[at] = n
+    model = RatioModel(places, [counts(sums.where(F.col("kind") == k)) for k in range(4)], documents, raw)
+    scratch.drop("shares", "sums")
+    return model
 
 
 def _weighing(model, text_at: int, lang_at: int | None, buckets: int):
