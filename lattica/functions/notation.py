@@ -31,6 +31,11 @@ def quantised_equal(ln: Column, ld: Column, rn: Column, rd: Column, divisions: C
     return (difference == 0) | (difference * F.greatest(F.lit(128), divisions) <= ld * rd)
 
 
+def direction_end(kind: Column, end_value: Column) -> Column:
+    """A direction's end value as far as it is content: a wedge's is a number local to its file, and counts as empty. A null kind is no wedge."""
+    return F.when(kind == "wedge", "").otherwise(end_value)
+
+
 def tree_value(nodes: list[dict], features: list[Column]) -> Column:
     """A decision tree compiled to nested conditions, so that scoring stays in the JVM.
 

@@ -30,6 +30,12 @@ def chord_flags(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.row_number().over(w) > 1).alias("continues"))
 
 
+@query("PRJ11_direction_key", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'wedge' ELSE 'words' END AS kind, p_type AS value, CASE WHEN p_size > 25 THEN '' ELSE p_name END AS end_value FROM part")
+def direction_key(t):
+    kind = F.when(F.col("p_size") > 25, "wedge").otherwise("words")
+    return t("part").select("p_partkey", kind.alias("kind"), F.col("p_type").alias("value"), N.direction_end(kind, F.col("p_name")).alias("end_value"))
+
+
 @query("PRJ13_key_alterations", """SELECT p_partkey, s AS step, CAST(CASE WHEN f > k THEN 1 ELSE -1 END AS INT) AS alter FROM (SELECT p_partkey, p_size % 15 - 7 AS f FROM part), (VALUES ('F', 0), ('C', 1), ('G', 2), ('D', 3), ('A', 4), ('E', 5), ('B', 6)) v(s, k) WHERE f > k OR -f > 6 - k""")
 def key_alterations(t):
     return t("part").select("p_partkey", F.explode(N.key_alterations(F.col("p_size") % 15 - 7)).alias("step", "alter"))

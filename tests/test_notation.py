@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import scalars as S
-from lattica.functions.notation import greedy_ctc, tree_is_valid, tree_value
+from lattica.functions.notation import direction_end, greedy_ctc, tree_is_valid, tree_value
 from lattica.operators import clusters, matching, metrics
 from lattica.plans.registry import ORACLE_SQL, QUERIES
 from lattica.sources.scores import notes_of, read_scores
@@ -104,3 +104,8 @@ def test_stream(spark, tmp_path, sf, again):
         stream = rates.once_each(rates.read_files(spark, source, events.schema), ["event_id"], "ts", "3650 days")
         rates.run_available(stream, out, str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(out).count() == events.count()
+
+
+def test_direction_end(spark):
+    rows = spark.createDataFrame([("wedge", "1"), ("wedge", None), ("words", "1"), (None, "2"), ("words", None)], "kind string, e string")
+    assert [r[0] for r in rows.select(direction_end(F.col("kind"), F.col("e"))).collect()] == ["", "", "1", "2", None]
