@@ -29,10 +29,10 @@ def capped_per_key(df: DataFrame, group: list[str], order: list[Column], cap: in
     return df.withColumn("rank", rank).where(F.col("rank") <= cap)
 
 
-def round_robin(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
-    """One of each group in turn, groups in order of their hash, until n rows are taken."""
+def round_robin(df: DataFrame, group: str, order: list[Column], n: int, seed: str | None = None) -> DataFrame:
+    """One of each group in turn, groups in order of their hash (with the seed, if any), until n rows are taken."""
     ranked = df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("turn") <= n)
-    return ranked.orderBy("turn", F.sha2(F.col(group).cast("string"), 256)).limit(n)
+    return ranked.orderBy("turn", F.sha2(F.col(group).cast("string") if seed is None else keyed(seed, F.col(group)), 256)).limit(n)
 
 
 def first_of_each(df: DataFrame, key: list[str], order: str, columns: list[str]) -> DataFrame:
