@@ -180,15 +180,15 @@ def overlap_summary(t):
     return A.overlap_summary(t("lineitem").select("l_returnflag", _x("l_quantity / 64").alias("v")), ["l_returnflag"], "v").withColumn("mean", F.round("mean", 9))
 
 
-_BAR = "CASE WHEN event_id % 3 > 0 THEN 4 ELSE 1 + event_id % 4 END"
+_BAR = "CASE WHEN event_id % 6 IN (0, 5) OR event_id % 11 = 0 THEN event_id % 5 ELSE 4 END"
 
 
-@query("WIN4_legal_incomplete", f"""WITH r AS (SELECT user_id, event_id, {_BAR} AS a, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_id) AS n, first_value({_BAR}) OVER w AS fa, last_value({_BAR}) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS la,
-  lead({_BAR}, 1) OVER w AS a1, lead({_BAR}, 2) OVER w AS a2, lead({_BAR}, 3) OVER w AS a3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT user_id, event_id, coalesce((k IN (1, n) AND n >= 2 AND fa > 0 AND fa < 4 AND la > 0 AND la < 4 AND fa + la = 4) OR (k = 1 AND n >= 4 AND a > 0 AND 2 * a <= 4 AND a1 = 4 AND a2 = 4 AND a3 = 4), false) AS legal FROM r""")
+@query("WIN4_legal_incomplete", f"""WITH e AS (SELECT event_id // 6 AS part, event_id FROM events), r AS (SELECT part, event_id, {_BAR} AS a, row_number() OVER w AS k, count(*) OVER (PARTITION BY part) AS n, first_value({_BAR}) OVER w AS fa, last_value({_BAR}) OVER (PARTITION BY part ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS la,
+  lead({_BAR}, 1) OVER w AS a1, lead({_BAR}, 2) OVER w AS a2, lead({_BAR}, 3) OVER w AS a3 FROM e WINDOW w AS (PARTITION BY part ORDER BY event_id))
+SELECT part, event_id, coalesce((k IN (1, n) AND n >= 2 AND fa > 0 AND fa < 4 AND la > 0 AND la < 4 AND fa + la = 4) OR (k = 1 AND n >= 4 AND a > 0 AND 2 * a <= 4 AND a1 = 4 AND a2 = 4 AND a3 = 4), false) AS legal FROM r""")
 def legal_incomplete(t):
-    rows = t("events").select("user_id", "event_id", _x(_BAR).alias("actual"), F.lit(4).alias("expected"))
-    return A.legal_incomplete(rows, "user_id", "event_id", "actual", "expected").select("user_id", "event_id", "legal")
+    rows = t("events").select(_x("event_id div 6").alias("part"), "event_id", _x(_BAR).alias("actual"), F.lit(4).alias("expected"))
+    return A.legal_incomplete(rows, "part", "event_id", "actual", "expected").select("part", "event_id", "legal")
 
 
 _LINE = "CASE WHEN event_id % 6 = 0 THEN '!!LO:PB:g=original' WHEN event_id % 3 = 1 THEN concat('=', event_id % 40, '{tab}', '=99') WHEN event_id % 5 = 0 THEN '==' ELSE '4c' END"
