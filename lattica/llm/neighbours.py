@@ -5,8 +5,11 @@ vectors into cells of at most ``cell`` rows; exact neighbours within the cells o
 start the graph. Each round of NN-descent lets every node introduce its neighbours (the nodes it
 points to and a bounded sample of those pointing to it) to each other: nodes are dealt to blocks
 of bounded size, each block fetches the distinct vectors its nodes name (a vector goes to no more
-blocks than there are, nor than name it), compares them pair by pair in NumPy, and sends back for each vector only introductions better than its present worst neighbour. Lists of
-candidates are merged per node. Work a round is proportional to the number of nodes.
+blocks than there are, nor than name it), as half-precision numbers and a scale, compares them pair
+by pair in NumPy, and sends back for each vector only introductions better than its present worst
+neighbour. Lists of candidates are merged per node. Work a round is proportional to the number of
+nodes. What a task holds depends on BLOCK_BYTES and HELD, not on the number of nodes: introductions
+that would exceed them are sent on before the block ends.
 
 Searching: a query is a row, so its node's neighbours start the search; each step expands the best
 unexpanded nodes of every query, joins their neighbours in, and keeps the best. The final list is
@@ -33,7 +36,8 @@ from lattica.llm.common import Scratch, map_batches, partitions
 
 K = 64  # neighbours a node keeps
 CELL = 1000
-BLOCK_BYTES = 384 << 20  # of vectors that a block fetches at most: 2 K for each of its nodes
+BLOCK_BYTES = 144 << 20  # of halved vectors that a block fetches at most: 2 K for each of its nodes
+HELD = 250_000  # introductions that a block's task holds beside its vectors; more where those are fewer
 SAMPLE = 20_000
 _NODES = "node long, ids binary, scores binary"
 
@@ -197,44 +201,105 @@ def _shrink(state, found, most: int):
     return v[rank < most], w[rank < most], s[rank < most]
 
 
+def _no_state():
+    return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+
+
 def _collecting(batches):
-    """A bucket's introductions, packed by the blocks that made them: the best K of each of its nodes."""
-    for _, rows in _groups(batches, 1):
-        state, found, held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)), [[], [], []], 0
-        for i in range(rows.num_rows):
-            for out, column, kind in zip(found, rows.columns[1:], (np.int64, np.int64, np.float32), strict=True):
-                out.append(np.frombuffer(column[i].as_py(), kind))
-            held += len(found[0][-1])
-            if held > 2_000_000:
-                state, found, held = _shrink(state, found, K), [[], [], []], 0
-        v, w, s = _shrink(state, found, K)
+    """A bucket's introductions, packed by the blocks that made them: the best K of each of its nodes. Rows are read one by one, so that a bucket's nodes bound what is held."""
+    kinds = np.int64, np.int64, np.float32
+    empty = lambda: [bytearray() for _ in kinds]
+
+    def shrunk(state, found):
+        return _shrink(state, [[np.frombuffer(x, k)] for x, k in zip(found, kinds, strict=True)], K)
+
+    def best(state, found):
+        v, w, s = shrunk(state, found)
         cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)] if len(v) else [0]
-        yield _node_rows(v[cuts[:-1]], [(w[a:b], s[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        return _node_rows(v[cuts[:-1]], [(w[a:b], s[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+    key, state, found = None, _no_state(), empty()
+    for batch in batches:
+        for bucket, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != key:
+                if key is not None:
+                    yield best(state, found)
+                key, state, found = bucket, _no_state(), empty()
+            for x, part in zip(found, parts, strict=True):
+                x += part
+            if len(found[0]) > 4 * 8 * HELD:
+                state, found = shrunk(state, found), empty()
+    if key is not None:
+        yield best(state, found)
+
+
+def _halving(batches):
+    """node, v as half-precision numbers of its largest component, and that component."""
+    for batch in batches:
+        x = _float_rows(batch, 1)
+        scale = np.abs(x).max(1, initial=0)
+        scale = np.where((scale > 0) & np.isfinite(scale), scale, np.float32(1)).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in (x / scale[:, None]).astype(np.float16)], pa.binary()), pa.array(scale)], names=["node", "h", "scale"])
+
+
+def _blocks(batches):
+    """Of each block, whose rows come as _introducing has them: other of its names, and where their nodes change; other, worst, scale and halves of its vectors. Columns are views of what has grown, so nothing is held twice."""
+    kinds = np.int64, np.int64, np.float32, np.float32, np.float16
+    empty = lambda: ([0], [bytearray() for _ in kinds])
+
+    def whole(cuts, parts):
+        names, ids, worst, scale, halves = (np.frombuffer(x, k) for x, k in zip(parts, kinds, strict=True))
+        return [*cuts, len(names)], names, ids, worst, scale, halves.reshape(len(ids), -1) if len(ids) else halves.reshape(0, 0)
+
+    key, last, (cuts, parts) = None, None, empty()
+    for batch in batches:
+        block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        change = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+        for a, b in zip(change[:-1], change[1:], strict=True):
+            if block[a] != key:
+                if key is not None:
+                    yield whole(cuts, parts)
+                key, last, (cuts, parts) = block[a], None, empty()
+            node, other, worst, scale, h = (batch.column(i).slice(a, b - a) for i in range(2, 7))
+            if kind[a] == 0:
+                node, at = node.to_numpy(), len(parts[0]) // 8
+                if last is not None and last != node[0]:
+                    cuts.append(at)
+                cuts += (np.flatnonzero(node[1:] != node[:-1]) + 1 + at).tolist()
+                last = node[-1]
+                parts[0] += other.to_numpy().tobytes()
+            else:
+                for part, column in zip(parts[1:], (other, worst, scale), strict=False):
+                    part += column.to_numpy().tobytes()
+                parts[4] += b"".join(h.to_pylist())
+    if key is not None:
+        yield whole(cuts, parts)
 
 
 def _introducing(most: int, buckets: int):
-    """A block's rows: names (node, other) and then vectors (other, its worst score, v). Better introductions, by vector."""
+    """A block's rows: names (node, other) and then vectors (other, its worst score, scale, h). Better introductions, by vector."""
+    def packed(ids, v, w, s):
+        v, w = ids[v], ids[w]
+        bucket = _bucket(v, buckets)
+        order = np.argsort(bucket, kind="stable")
+        v, w, s, bucket = v[order], w[order], s[order], bucket[order]
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(v)] if len(v) else [0]
+        parts = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x in (v, w, s)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), *[pa.array(x, pa.binary()) for x in parts]], names=["bucket", "v", "w", "s"])
 
     def run(batches):
-        for _, block in _groups(batches, 1):
-            kind = block.column(1).to_numpy()
-            split = int(np.searchsorted(kind, 1))
-            names, vectors = block.slice(0, split), block.slice(split)
-            ids, x = vectors.column(3).to_numpy(), _float_rows(vectors, 5)
-            worst = vectors.column(4).to_numpy()
-            node, other = names.column(2).to_numpy(), names.column(3).to_numpy()
-            place = np.searchsorted(ids, other)
-            place = place[np.isin(other, ids, assume_unique=False)] if len(ids) else place[:0]
-            cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+        for cuts, names, ids, worst, scale, halves in _blocks(batches):
+            room = HELD + max(0, BLOCK_BYTES - halves.nbytes) // 64
             found = [[], [], []]
             held = 0
-            state = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+            state = _no_state()
 
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                p = np.unique(place[a:b])
+                p = np.searchsorted(ids, np.unique(names[a:b]))  # every node has a vector, so each name is found
                 if len(p) < 2:
                     continue
-                g = x[p] @ x[p].T
+                x = halves[p] * scale[p, None]
+                g = x @ x.T
                 np.fill_diagonal(g, -np.inf)
                 best = _best_of(g, 12)
                 s = np.take_along_axis(g, best, 1)
@@ -243,16 +308,13 @@ def _introducing(most: int, buckets: int):
                 found[1].append(p[best[i, j]])
                 found[2].append(s[i, j])
                 held += len(i)
-                if held > 1_000_000:
+                if held > room // 3:
                     state, found, held = _shrink(state, found, most), [[], [], []], 0
-            v, w, s = _shrink(state, found, most)
-            v, w = ids[v], ids[w]
-            bucket = _bucket(v, buckets)
-            order = np.argsort(bucket, kind="stable")
-            v, w, s, bucket = v[order], w[order], s[order], bucket[order]
-            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(v)] if len(v) else [0]
-            packed = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x in (v, w, s)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), *[pa.array(x, pa.binary()) for x in packed]], names=["bucket", "v", "w", "s"])
+                    if len(state[0]) > room:
+                        yield packed(ids, *state)
+                        state = _no_state()
+            yield packed(ids, *_shrink(state, found, most))
+            del cuts, names, ids, worst, scale, halves, state, found  # before the next block is gathered
 
     return run
 
@@ -268,7 +330,9 @@ def build_graph(nodes: DataFrame, scratch: Scratch, trees: int = 4, rounds: int
     """``nodes``: node, v (array<float>). Returns node, ids, scores: its best K neighbours, packed."""
     spark, n_parts = nodes.sparkSession, partitions(nodes)
     n = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("v").toArrow()
+    # A share of some 2 SAMPLE rows first, so that the one task that orders them does not see all.
+    share = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(max(1, n // (2 * SAMPLE)))) == 0
+    sample = nodes.where(share).orderBy(F.xxhash64("node")).limit(SAMPLE).select("v").toArrow()
     x = np.asarray(sample["v"].combine_chunks().flatten(), np.float32).reshape(len(sample), -1) if len(sample) else np.zeros((0, 1), np.float32)
     depth = min(12, max(0, int(np.ceil(np.log2(max(1, n / CELL))))))  # 4,096 cells at most; larger ones are dealt on by hash
     shared = spark.sparkContext.broadcast(Trees(x, trees, depth, seed))
@@ -278,7 +342,8 @@ def build_graph(nodes: DataFrame, scratch: Scratch, trees: int = 4, rounds: int
     cells = cells.repartition(n_parts, "tree", "cell", "sub").sortWithinPartitions("tree", "cell", "sub")
     graph = scratch.save(merge_lists(map_batches(cells, _cell_neighbours, _NODES)), "graph0", "none")
     scratch.drop("dealt")
-    blocks = max(1, -(-n * 2 * K * 4 * x.shape[1] // block_bytes))
+    halves = scratch.save(map_batches(nodes.select("node", "v"), _halving, "node long, h binary, scale float"), "halves", "none")
+    blocks = max(1, -(-n * 2 * K * 2 * x.shape[1] // block_bytes))
     block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
     for i in range(1, rounds + 1):
         named = map_batches(graph.select("node", "ids"), _naming, "node long, turn long, other long")
@@ -286,16 +351,17 @@ def build_graph(nodes: DataFrame, scratch: Scratch, trees: int = 4, rounds: int
         pointing = named.where("turn > 0").withColumn("rank", F.expr("row_number() over (partition by node order by turn, other)")).where(f"rank <= {K}").select("node", "other")
         names = scratch.save(named.where("turn = 0").select("node", "other").unionByName(pointing).withColumn("block", block), f"names{i}")
         worst = map_batches(graph.select("node", "scores"), _worst, "node long, worst float")
-        vectors = nodes.join(worst, "node").select(F.col("node").alias("other"), "worst", "v")
+        vectors = halves.join(worst, "node").select(F.col("node").alias("other"), "worst", "scale", "h")
         wanted = names.select("block", "other").distinct().join(vectors, "other")
-        rows = names.select("block", F.lit(0).alias("kind"), "node", "other", F.lit(None).cast("float").alias("worst"), F.lit(None).cast("array<float>").alias("v")).unionByName(
-            wanted.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("node"), "other", "worst", "v")
+        rows = names.select("block", F.lit(0).alias("kind"), "node", "other", *[F.lit(None).cast(k).alias(c) for c, k in (("worst", "float"), ("scale", "float"), ("h", "binary"))]).unionByName(
+            wanted.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("node"), "other", "worst", "scale", "h")
         )
         rows = rows.repartition(max(n_parts, min(blocks, 10 * n_parts)), "block").sortWithinPartitions("block", "kind", "node", "other")
         packed = map_batches(rows, _introducing(24, blocks), "bucket int, v binary, w binary, s binary")
         better = map_batches(packed.repartition(max(n_parts, min(blocks, 10 * n_parts)), "bucket").sortWithinPartitions("bucket"), _collecting, _NODES)
         graph = scratch.save(merge_lists(graph.unionByName(better)), f"graph{i}", "none")
         scratch.drop(f"names{i}", f"graph{i - 1}")
+    scratch.drop("halves")
     return graph
 
 

@@ -4,11 +4,13 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from lattica.llm import decontaminate, jaccard_join, mixing, neighbours, pii, quality, sharding, substring_dedup, token_files, url_filter
@@ -193,6 +195,46 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame(rows[3000:], "vec_id long, embedding array<double>")).count() == 0
 
 
+def _block(nodes: int, names: int, dim: int):
+    """Rows of one block whose nodes name ``names`` vectors each, none twice, as of a table much larger than a block."""
+    rng = np.random.default_rng(1)
+    schema = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("node", pa.int64()), ("other", pa.int64()), ("worst", pa.float32()), ("scale", pa.float32()), ("h", pa.binary())])
+    for kind in (0, 1):
+        for a in range(0, nodes * names, 2048):
+            other = np.arange(a, min(a + 2048, nodes * names))
+            n, none = len(other), pa.nulls(len(other), pa.float32())
+            h = pa.array([x.tobytes() for x in rng.normal(size=(n, dim)).astype(np.float16)], pa.binary()) if kind else pa.nulls(n, pa.binary())
+            worst, scale = (pa.array(np.full(n, -np.inf, np.float32)), pa.array(np.ones(n, np.float32))) if kind else (none, none)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(other // names if not kind else other * 0), pa.array(other), worst, scale, h], schema=schema)
+
+
+def test_neighbours_block_memory():
+    """A block as large as blocks get stays within 300 MB of NumPy's and Python's memory."""
+    dim = 64
+    nodes = neighbours.BLOCK_BYTES // (2 * neighbours.K * 2 * dim)
+    tracemalloc.start()
+    try:
+        sent = sum(sum(len(v) // 8 for v in batch.column(1).to_pylist()) for batch in neighbours._introducing(24, 50)(_block(nodes, 2 * neighbours.K, dim)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sent == nodes * 2 * neighbours.K * 12 and peak < 300 << 20, (sent, peak)
+
+
+def test_neighbours_sent_early(monkeypatch):
+    """Introductions sent before a block ends are the same as those sent at its end."""
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 0)
+
+    def found(held):
+        monkeypatch.setattr(neighbours, "HELD", held)
+        sent = list(neighbours._introducing(24, 3)(_block(40, 16, 8)))
+        lists = list(neighbours._collecting(pa.Table.from_batches(sent).sort_by("bucket").to_batches(max_chunksize=4)))
+        return len(sent), {n: (i, s) for b in lists for n, i, s in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+
+    (once, want), (often, got) = found(1_000_000), found(300)
+    assert once == 1 and often > 5 and got == want and len(got) == 640
+
+
 def test_sharding_sql(spark, sf):
     """All columns but the checksum, which DuckDB doesn't have."""
     compare(spark, sf, QUERIES["op5_sharding"], sharding.SQL)
