@@ -1,6 +1,8 @@
 import itertools
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,60 @@ def test_matchings(seed):
         taken.add(j)
 
 
+def _some_boxes(rng, n: int, pages: int, wide: int):
+    x = rng.integers(0, 30, (n, 2))
+    page = [None if p == 0 else int(p) for p in rng.integers(0, pages, n)]
+    score = [None if v == 0 else float("nan") if v == 1 else float(v) for v in rng.integers(0, 9, n)]
+    return [(p, i, float(a), float(b), float(a + rng.integers(0, wide)), float(b + rng.integers(0, wide)), v) for i, (p, (a, b), v) in enumerate(zip(page, x.tolist(), score, strict=True))]
+
+
+BOXES = "page int, item long, x1 double, y1 double, x2 double, y2 double, score double"
+
+
+def _in_order(rows):
+    """By falling score, null and NaN last, and then by item."""
+    return sorted(rows, key=lambda r: (r[6] is None or r[6] != r[6], -(r[6] or 0) if r[6] == r[6] else 0, r[1]))
+
+
+def _pages(rows):
+    return {p: [r for r in rows if r[0] == p] for p in {r[0] for r in rows}}
+
+
+def test_whole_groups(monkeypatch):
+    monkeypatch.setattr(clusters, "ROWS", 5)
+    keys = [None] * 3 + [float("nan")] * 2 + [1.0] * 13 + [2.0, 3.0, 3.0]
+    rows = pa.record_batch({"k": pa.array(keys), "i": pa.array(range(len(keys)))})
+    for size in (1, 2, 4, 21):
+        got = [(b.column(0).to_pylist(), b.column(1).to_pylist(), g.tolist()) for b, g in clusters.whole_groups((rows.slice(a, size) for a in range(0, len(keys), size)), 1)]
+        groups = [[i[k] for k in range(len(i)) if g[k] == n] for _, i, g in got for n in dict.fromkeys(g)]
+        assert groups == [[0, 1, 2], [3, 4], list(range(5, 18)), [18], [19, 20]]
+    assert list(clusters.whole_groups(iter([rows.slice(0, 0)]), 1)) == []
+
+
+@pytest.mark.parametrize("pages", [2, 400])
+def test_suppression_box_by_box(spark, pages):
+    rows = _some_boxes(np.random.default_rng(pages), 900, pages, 15)
+    want = set()
+    for page, boxes in _pages(rows).items():
+        kept = []
+        for r in _in_order(boxes):
+            if not kept or (clusters.box_iou(np.array(r[2:6]), np.array([k[2:6] for k in kept])) < 0.3).all():
+                kept.append(r)
+        want |= {(page, r[1]) for r in kept}
+    got = clusters.suppress(spark.createDataFrame(rows, BOXES), ["page"], "item", ["x1", "y1", "x2", "y2"], "score", 0.3).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+@pytest.mark.parametrize("run", [
+    lambda b: clusters.suppress(b, ["page"], "item", ["x1", "y1", "x2", "y2"], "score", 0.3),
+])
+def test_many_small_pages(spark, run):
+    """100,000 pages of four boxes in 30 s; a data frame a page took minutes."""
+    boxes = spark.range(400_000).selectExpr("id div 4 as page", "id as item", "double(id % 7 * 10) as x1", "0D as y1", "double(id % 7 * 10 + 15) as x2", "9D as y2", "double(id % 5) as score")
+    began = time.monotonic()
+    assert run(boxes).count() > 0 and time.monotonic() - began < 30
+
+
 def test_running_median(spark):
     rows = spark.createDataFrame([([1.0, 2.0, 4.0, 7.0, 20.0],), ([],)], "x array<double>")
     got = [r[0] for r in rows.select(clusters.running_median_clusters(F.col("x"), 3.0)).collect()]
