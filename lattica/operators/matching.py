@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import keyed
-from lattica.operators.clusters import box_iou
+from lattica.operators.clusters import box_iou, boxes_of, by_group, ordered, whole_groups
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -49,21 +49,57 @@ def maximum_matches(iou: np.ndarray, least: float) -> list[tuple[int, int]]:
     return sorted((r, c) for c, r in owner.items())
 
 
+def _small_pairs(starts: np.ndarray, f: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of groups whose f found rows and then t truth rows begin at ``starts``: each pair's group, found row and truth row."""
+    n = f * t
+    of = np.repeat(np.arange(len(n)), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return of, starts[of] + k // t[of], starts[of] + f[of] + k % t[of]
+
+
+def _batch_matches(x: np.ndarray, starts: np.ndarray, f: np.ndarray, t: np.ndarray, least: float, method) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Found and truth rows of each match. Pairs of small groups are compared at once; ``method`` sees the groups where a row or column has a choice."""
+    small = f * t <= 1024
+    of, i, j = _small_pairs(starts[small], f[small], t[small])
+    iou = box_iou(x[i], x[j])
+    reach = iou >= least
+    lone = (np.bincount(i[reach], minlength=len(x)) <= 1)[i] & (np.bincount(j[reach], minlength=len(x)) <= 1)[j]
+    chosen = np.bincount(of[reach & ~lone], minlength=int(small.sum())) > 0
+    direct = reach & ~chosen[of]
+    out = [(i[direct], j[direct])]
+    ends = np.cumsum(f[small] * t[small])
+    for g, a, n, m in zip(np.flatnonzero(chosen), starts[small][chosen], f[small][chosen], t[small][chosen], strict=True):
+        out += [(np.array([p[0] for p in pairs]) + a, np.array([p[1] for p in pairs]) + a + n) for pairs in [method(iou[ends[g] - n * m : ends[g]].reshape(n, m), least)] if pairs]
+    for a, n, m in zip(starts[~small], f[~small], t[~small], strict=True):
+        pairs = method(np.array([box_iou(b, x[a + n : a + n + m]) for b in x[a : a + n]]).reshape(n, m), least)
+        out += [(np.array([p[0] for p in pairs]) + a, np.array([p[1] for p in pairs]) + a + n)] if pairs else []
+    return out
+
+
 def match_boxes(truth: DataFrame, found: DataFrame, group: str, item: str, score: str | None, least: float, method=greedy_matches) -> DataFrame:
-    """group, found_item, truth_item: one-to-one matches of a page's boxes (x1, y1, x2, y2); found ones by falling ``score`` if given. A page is one task's group, small by nature."""
+    """group, found_item, truth_item: one-to-one matches of a page's boxes (x1, y1, x2, y2); found ones by falling ``score`` if given.
+
+    A page is in one task, many pages at once. ``least`` is over 0, and ``method`` takes a pair that is
+    the only one of its row and of its column to reach ``least``.
+    """
     kinds = dict(found.dtypes) | {f"truth_{k}": v for k, v in truth.dtypes}
-    right = truth.select(*[F.col(c).alias(c) for c in (group, item, *BOX)])  # columns of its own, as both sides may be of one table
-
-    def run(key, f: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values([score, item] if score else [item], ascending=[False, True] if score else True)
-        t = t.sort_values(item)
-        boxes = t[BOX].to_numpy(float)
-        iou = np.array([box_iou(b, boxes) for b in f[BOX].to_numpy(float)]).reshape(len(f), len(t))
-        pairs = method(iou, least)
-        return pd.DataFrame({group: [key[0]] * len(pairs), "found_item": f[item].to_numpy()[[i for i, _ in pairs]], "truth_item": t[item].to_numpy()[[j for _, j in pairs]]})
-
-    left = found.select(group, item, *BOX, *([score] if score else []))
-    return left.groupBy(group).cogroup(right.groupBy(group)).applyInPandas(run, f"{group} {kinds[group]}, found_item {kinds[item]}, truth_item {kinds[f'truth_{item}']}")
+    box = [F.col(c).cast("double").alias(c) for c in BOX]
+    none = lambda k: F.lit(None).cast(k)
+    by = kinds[score] if score else "double"
+    left = found.select(F.col(group).alias("k0"), F.lit(0).alias("side"), F.col(item).alias("f"), none(kinds[f"truth_{item}"]).alias("t"), *box, (F.col(score) if score else none(by)).alias("s"))
+    right = truth.select(F.col(group).alias("k0"), F.lit(1).alias("side"), none(kinds[item]).alias("f"), F.col(item).alias("t"), *box, none(by).alias("s"))
+
+    def run(batches):
+        for rows, g in whole_groups(batches, 1):
+            order = ordered(g, (rows.column("side"), "ascending"), (rows.column("s"), "descending"), (rows.column("f"), "ascending"), (rows.column("t"), "ascending"))
+            side = rows.column("side").to_numpy()[order]
+            t = np.bincount(g[order], weights=side).astype(int)
+            n = np.bincount(g)
+            pairs = _batch_matches(boxes_of(rows, BOX)[order], np.cumsum(n) - n, n - t, t, least, method)
+            i, j = (pa.array(order[np.concatenate([p[k] for p in pairs])]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([rows.column("k0").take(i), rows.column("f").take(i), rows.column("t").take(j)], names=[group, "found_item", "truth_item"])
+
+    return by_group(left.unionByName(right), ["k0"]).mapInArrow(run, f"{group} {kinds[group]}, found_item {kinds[item]}, truth_item {kinds[f'truth_{item}']}")
 
 
 def bootstrap(cases: DataFrame, numbered: str, n: int, samples: int, seed: str, rate: Column, sums: list[str], at: dict[str, float]) -> DataFrame:

@@ -135,8 +135,23 @@ def test_suppression_box_by_box(spark, pages):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("method", [matching.maximum_matches])
+@pytest.mark.parametrize("pages", [2, 300])
+def test_matches_page_by_page(spark, pages, method):
+    rows = _some_boxes(np.random.default_rng(pages), 900, pages, 15)
+    found, truth = rows[::2], rows[1::2]
+    want = set()
+    for page, f in _pages(found).items():
+        f, t = _in_order(f), [r for r in truth if r[0] == page]
+        iou = np.array([clusters.box_iou(np.array(r[2:6]), np.array([k[2:6] for k in t]).reshape(-1, 4)) for r in f]).reshape(len(f), len(t))
+        want |= {(page, f[i][1], t[j][1]) for i, j in method(iou, 0.2)}
+    got = matching.match_boxes(spark.createDataFrame(truth, BOXES), spark.createDataFrame(found, BOXES), "page", "item", "score", 0.2, method).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 @pytest.mark.parametrize("run", [
     lambda b: clusters.suppress(b, ["page"], "item", ["x1", "y1", "x2", "y2"], "score", 0.3),
+    lambda b: matching.match_boxes(b.where("item % 2 = 0"), b.where("item % 2 = 1"), "page", "item", None, 0.1, matching.maximum_matches),
 ])
 def test_many_small_pages(spark, run):
     """100,000 pages of four boxes in 30 s; a data frame a page took minutes."""
