@@ -135,7 +135,7 @@ def test_suppression_box_by_box(spark, pages):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
-@pytest.mark.parametrize("method", [matching.maximum_matches])
+@pytest.mark.parametrize("method", [matching.greedy_matches, matching.maximum_matches])
 @pytest.mark.parametrize("pages", [2, 300])
 def test_matches_page_by_page(spark, pages, method):
     rows = _some_boxes(np.random.default_rng(pages), 900, pages, 15)
@@ -152,6 +152,7 @@ def test_matches_page_by_page(spark, pages, method):
 @pytest.mark.parametrize("run", [
     lambda b: clusters.suppress(b, ["page"], "item", ["x1", "y1", "x2", "y2"], "score", 0.3),
     lambda b: matching.match_boxes(b.where("item % 2 = 0"), b.where("item % 2 = 1"), "page", "item", None, 0.1, matching.maximum_matches),
+    lambda b: matching.match_boxes(b.where("item % 2 = 0"), b.where("item % 2 = 1"), "page", "item", "score", 0.1),
 ])
 def test_many_small_pages(spark, run):
     """100,000 pages of four boxes in 30 s; a data frame a page took minutes."""
