@@ -340,7 +340,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = docs.where("doc_id is not null").join(_small(copies, broadcast_rows), ["doc_id", "t"], "left_anti").select("doc_id", "text")
     lists = map_batches(firsts, _listing(order, bound), "key long, salt int, at int, id long, n int")
     lists = scratch.save(map_batches(lists.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "at", "id"), _shared, _LISTED), "lists")
-    order.unpersist()
+    order.destroy()  # of the driver's memory too
     of = lambda ids: firsts.join(_small(ids.toDF("doc_id"), broadcast_rows), "doc_id", "left_semi")
 
     def both_ends(pairs: DataFrame) -> DataFrame:

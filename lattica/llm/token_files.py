@@ -333,14 +333,29 @@ def _unpacking(code_of, with_ids: bool):
     return run
 
 
+def _vocabulary_size(tokenizer_path: str):
+    def run(batches):
+        from tokenizers import Tokenizer
+
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([Tokenizer.from_file(tokenizer_path).get_vocab_size()])], names=["n"])
+
+    return run
+
+
+def _two_columns(df: DataFrame) -> dict[int, int]:
+    """The first column to the second; by Arrow, as rows would take several times the memory of the driver."""
+    got = df.toArrow()
+    return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, vocabulary: int | None = None, part_bytes: int = 32 << 20, block_ids: int = 1 << 18, max_length: int = 20) -> None:
     """Writes the documents' ids to the folder ``path``, in ascending order of doc_id."""
     spark = docs.sparkSession
     bound_arrow(spark)
-    if vocabulary is None:
-        from tokenizers import Tokenizer
-
-        vocabulary = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
+    if vocabulary is None:  # asked of a task, so that the driver holds no tokenizer
+        vocabulary = max(map_batches(spark.range(0, 1, 1, 1), _vocabulary_size(tokenizer_path), "n long").first()[0], end_id + 1)
     width = 2 if vocabulary <= 1 << 16 else 4
     scratch = Scratch(spark, "tokens")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -351,8 +366,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     sorted_ = tokens.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), "ids")
     blocks = scratch.save(map_batches(sorted_, _blocking(width, block_ids, vocabulary), "part int, block int, start long, doc_ids array<long>, lengths array<int>, ids binary, seen array<int>, counts array<long>"), "blocks", "none")
     counts = blocks.select(F.explode(F.arrays_zip("seen", "counts")).alias("x")).groupBy(F.col("x.seen").alias("id")).agg(F.sum("x.counts").alias("n"))
-    lengths = code_lengths({r["id"]: r["n"] for r in counts.collect()}, max_length)  # a row for each id of the vocabulary at most
-    spark.createDataFrame([(k, v) for k, v in lengths.items()], "id long, length int").coalesce(1).write.mode("overwrite").parquet(f"{path}/code")
+    lengths = code_lengths(_two_columns(counts), max_length)  # a row for each id of the vocabulary at most
+    code = pa.table({"id": pa.array(lengths.keys(), pa.int64()), "length": pa.array(lengths.values(), pa.int32())})
+    spark.createDataFrame(code, "id long, length int").coalesce(1).write.mode("overwrite").parquet(f"{path}/code")
     code = spark.sparkContext.broadcast(CanonicalCode(lengths))
     packed = map_batches(blocks.where("part is not null").drop("seen", "counts"), _packing(code, width, vocabulary), "part int, block int, start long, n_ids long, doc_ids array<long>, payload binary")
     packed.write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
@@ -362,7 +378,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids if asked for."""
     bound_arrow(spark)
-    lengths = {r["id"]: r["length"] for r in spark.read.schema("id long, length int").parquet(f"{path}/code").collect()}
+    lengths = _two_columns(spark.read.schema("id long, length int").parquet(f"{path}/code"))
     code = spark.sparkContext.broadcast(CanonicalCode(lengths))
     blocks = spark.read.schema("part int, block int, start long, n_ids long, doc_ids array<long>, payload binary").parquet(f"{path}/blocks")
     docs = map_batches(blocks.select("part", "start", "doc_ids", "payload"), _unpacking(code, with_ids), "part int, doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")

@@ -195,6 +195,19 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame(rows[3000:], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_driver_holds_no_tokenizer(spark, monkeypatch):
+    import tokenizers
+
+    class Refused:
+        @staticmethod
+        def from_file(path):
+            raise AssertionError("the driver loads a tokenizer")
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Refused)
+    got = token_files.token_digest(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == [1, 2] and got[0].start == 0 and got[1].start == got[0].n_tokens and got[1].n_tokens == 1
+
+
 def _block(nodes: int, names: int, dim: int):
     """Rows of one block whose nodes name ``names`` vectors each, none twice, as of a table much larger than a block."""
     rng = np.random.default_rng(1)
