@@ -15,8 +15,8 @@ documents' lengths, the checkpoints, and the bits (high bit first).
 
 Tokenizing by pieces: the tokenizer's own splitting never joins across the places where a run of
 white space ends and a word (with the one space before it) begins, so a text's ids are those of
-its pieces, and each distinct piece goes through the library about once a worker (kept in two
-dictionaries of bounded size). Tests hold this against whole texts.
+its pieces, and each distinct piece goes through the library about once a worker (kept in flat
+arrays, a bounded number of them). Tests hold this against whole texts.
 
 Defined cases: null and empty texts have only the end id; null doc_id sorts first; repeated rows
 and ties of doc_id are documents like others, ordered by their ids' bytes; an empty table gives
@@ -39,11 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lattica.llm.common import Scratch, bound_arrow, map_batches
+from lattica.llm.words import mixed
 
 EVERY = 64
-CACHE = 420_000  # pieces in each half of what a worker keeps
+CACHE = 800_000  # pieces that a worker keeps
 TOGETHER = 8 << 20  # bytes of text encoded at once
-LONG_PIECE = 64  # characters; longer pieces are not kept
+LONG_PIECE = 64  # bytes; longer pieces are not kept
 #: White space as Unicode defines it, which is what the tokenizer's pattern means by \s.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -53,6 +54,76 @@ PIECES = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _IRREGULAR = "\x00|  | \n|\n |\n\n\n|^[ \n]|[ \n]$|[\t\x0b-\r\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+def _piece_keys(pieces: pa.StringArray) -> np.ndarray:
+    """64 bits of each piece's first and last eight bytes and length; longer pieces may share them."""
+    offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+    data = bytes(8) + memoryview(pieces.buffers()[2] or b"")[offsets[0] : offsets[-1]] + bytes(8)
+    offsets += 8 - offsets[0]
+    size = np.diff(offsets)
+    eights, shift = np.ndarray(len(data) - 7, "<u8", data, 0, (1,)), (8 * (8 - np.minimum(size, 8))).astype(np.uint64)
+    return mixed((eights[offsets[:-1]] << shift) ^ mixed((eights[offsets[1:] - 8] >> shift) ^ mixed(size.astype(np.uint64))))
+
+
+class PieceCache:
+    """Pieces and their ids in a few flat arrays, found by sorted 64-bit keys and compared whole.
+
+    Of more than ``CACHE`` pieces the half used last stays. Of pieces with one key the first is kept.
+    """
+
+    def __init__(self, kind: str):
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.pieces, self.used, self.turn = pa.array([], pa.string()), np.zeros(0, np.int32), 0
+        self.ends, self.ids = np.zeros(1, np.int32), np.zeros(0, kind)  # a row's ids are those from the end before it on
+
+    def find(self, pieces: pa.StringArray, keys: np.ndarray) -> np.ndarray:
+        """The row of each piece, -1 where there is none."""
+        self.turn += 1
+        if not len(self.keys):
+            return np.full(len(pieces), -1, np.int32)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        rows = np.where(self.keys[place] == keys, self.rows[place], -1)
+        met = np.flatnonzero(rows >= 0)
+        same = pc.equal(pieces.take(pa.array(met)), self.pieces.take(pa.array(rows[met])))
+        rows[met[~same.to_numpy(zero_copy_only=False)]] = -1
+        self.used[rows[rows >= 0]] = self.turn
+        return rows
+
+    def add(self, pieces: pa.StringArray, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Pieces that ``find`` didn't, with the number of ids of each and all those ids."""
+        keys, first = np.unique(keys, return_index=True)
+        place = np.searchsorted(self.keys, keys)
+        free = place == np.searchsorted(self.keys, keys, "right")
+        keys, first, place = keys[free], first[free], place[free]
+        self.keys = np.insert(self.keys, place, keys)
+        self.rows = np.insert(self.rows, place, np.arange(len(first), dtype=np.int32) + len(self.pieces))
+        self.pieces = pa.concat_arrays([self.pieces, pieces.take(pa.array(first))])
+        self.used = np.append(self.used, np.full(len(first), self.turn, np.int32))
+        self._append(sizes[first], ids, (np.cumsum(sizes) - sizes)[first])
+        if len(self.pieces) > CACHE:
+            self._keep(np.sort(np.argpartition(self.used, -(CACHE // 2))[-(CACHE // 2) :]))
+
+    def _append(self, sizes: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        ends = np.cumsum(sizes)
+        self.ids = np.append(self.ids, _runs(ids, at, sizes))
+        self.ends = np.append(self.ends, (ends + self.ends[-1]).astype(np.int32))
+
+    def _keep(self, rows: np.ndarray) -> None:
+        number = np.full(len(self.pieces), -1, np.int32)
+        number[rows] = np.arange(len(rows))
+        self.pieces, self.used = self.pieces.take(pa.array(rows)), self.used[rows]
+        rows_of = number[self.rows]
+        self.keys, self.rows = self.keys[rows_of >= 0], rows_of[rows_of >= 0]
+        ids, at, sizes = self.ids, self.ends[:-1][rows], np.diff(self.ends)[rows]
+        self.ids, self.ends = self.ids[:0], self.ends[:1]
+        self._append(sizes, ids, at)
+
+
+def _runs(ids: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ids of runs that begin at ``at``, one after another."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(at - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class PieceEncoder:
     """Text to ids as little-endian bytes, through the tokenizers library, piece by piece.
 
@@ -61,6 +132,9 @@ class PieceEncoder:
     pieces is always one id, and no piece of other characters holds that id. Texts of irregular
     white space are split by PIECES instead. A tokenizer that doesn't split as byte-level BPE does
     gets whole texts.
+
+    A piece is noted without the one space before it; one that has no space there begins with NUL
+    instead, but for a line break.
     """
 
     def __init__(self, tokenizer_path: str, width: int, end_id: int):
@@ -72,68 +146,82 @@ class PieceEncoder:
         self.by_piece = made["normalizer"] is None and (splitting.get("type"), splitting.get("use_regex"), splitting.get("add_prefix_space")) == ("ByteLevel", True, False)
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if self.by_piece else None
         self.width, self.kind, self.end = width, f"<u{width}", int(end_id).to_bytes(width, "little")
-        self.known, self.before = {}, {}
+        self.cache = PieceCache(self.kind)
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids_of(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces, from what is known or the library."""
-        known, before = self.known, self.before
-        out = list(map(known.get, pieces))
-        new = [i for i, ids in enumerate(out) if ids is None]
-        if before and new:
-            for i in new:
-                if (ids := before.get(pieces[i])) is not None:
-                    out[i] = known[pieces[i]] = ids
-            new = [i for i in new if out[i] is None]
-        blank = [i for i in new if not pieces[i] or pieces[i].isspace()]
-        for i, ids in zip(blank, self._encoded([pieces[i] for i in blank]), strict=True):
-            out[i] = known[pieces[i]] = np.array(ids, self.kind).tobytes()
-        rest = [i for i in new if out[i] is None]
-        w = self.width
-        for i in range(0, len(rest), 512):
-            lot = rest[i : i + 512]
-            ids = np.array(self._encoded(["\n".join([pieces[i] for i in lot])])[0], self.kind)
-            cuts = np.flatnonzero(ids == self.line) * w
-            if len(cuts) != len(lot) - 1:
-                raise ValueError("the tokenizer joins pieces across lines")
-            data, ends = ids.tobytes(), [*cuts.tolist(), len(ids) * w]
-            a = 0
-            for i, b in zip(lot, ends, strict=True):
-                out[i] = data[a:b]
-                if len(pieces[i]) <= LONG_PIECE:
-                    known[pieces[i]] = out[i]
-                a = b + w
-        if len(known) > CACHE:  # what is in use comes back from the older half
-            self.before, self.known = known, {}
-        return out
+    def _new_ids(self, noted: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all of them, from the library."""
+        sizes, found = np.zeros(len(noted), np.int64), []
+        for a in range(0, len(noted), 512):
+            pieces = [p[1:] if p[:1] == "\x00" else p if p == "\n" else " " + p for p in noted.slice(a, 512).to_pylist()]
+            blank = [i for i, p in enumerate(pieces) if not p or p.isspace()]
+            if blank:
+                alone = dict(zip(blank, self._encoded([pieces[i] for i in blank]), strict=True))
+                rest = [p for i, p in enumerate(pieces) if i not in alone]
+                lines = iter(np.split(*self._lines(rest)) if rest else [])
+                parts = [np.array(alone[i], self.kind) if i in alone else next(lines) for i in range(len(pieces))]
+                sizes[a : a + 512], ids = [len(p) for p in parts], np.concatenate(parts)
+            else:
+                ids, ends = self._lines(pieces)
+                sizes[a : a + 512] = np.diff(ends, prepend=0, append=len(ids))
+            found.append(ids)
+        return sizes, np.concatenate([np.zeros(0, self.kind), *found])
+
+    def _lines(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces of other characters than white space, and where all but the last piece's end."""
+        ids = np.array(self._encoded(["\n".join(pieces)])[0], self.kind)
+        line = ids == self.line
+        cuts = np.flatnonzero(line)
+        if len(cuts) != len(pieces) - 1:
+            raise ValueError("the tokenizer joins pieces across lines")
+        return ids[~line], cuts - np.arange(len(cuts))
+
+    def _ids_of(self, noted: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct pieces: number of ids, place of the first among all ids, and all ids; from what is kept or the library."""
+        keys, kept = _piece_keys(noted), self.cache
+        rows = kept.find(noted, keys)
+        old, new = np.flatnonzero(rows >= 0), np.flatnonzero(rows < 0)
+        sizes, at, pool = np.zeros(len(noted), np.int64), np.zeros(len(noted), np.int64), kept.ids
+        at[old] = kept.ends[rows[old]]
+        sizes[old] = kept.ends[rows[old] + 1] - at[old]
+        if len(new):
+            unmet = noted.take(pa.array(new))
+            sizes[new], ids = self._new_ids(unmet)
+            at[new] = np.cumsum(sizes[new]) - sizes[new] + len(pool)
+            pool = np.append(pool, ids)
+            short = np.flatnonzero(pc.binary_length(unmet).to_numpy() <= LONG_PIECE)
+            new = new[short]
+            kept.add(unmet.take(pa.array(short)), keys[new], sizes[new], _runs(pool, at[new], sizes[new]))
+        return sizes, at, pool
+
+    @staticmethod
+    def _split(texts: pa.Array) -> pa.ListArray:
+        return pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\x00"), pc.replace_substring(texts, "\n", " \n \x00"), ""), " ")
 
     def _regular(self, texts: pa.Array) -> list[bytes]:
-        """Pieces are parted by spaces; one that begins with NUL has no space before it."""
-        marked = pc.binary_join_element_wise(pa.scalar("\x00"), pc.replace_substring(texts, "\n", " \n \x00"), "")
-        split = pc.split_pattern(marked, " ")
-        numbered = split.values.dictionary_encode()
-        pieces = [p[1:] if p[:1] == "\x00" else p if p == "\n" else " " + p for p in numbered.dictionary.to_pylist()]
-        ids = self._ids_of(pieces)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
-        at = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        pool = np.frombuffer(b"".join(ids), self.kind)
-        order, offsets, out = numbered.indices.to_numpy(), split.offsets.to_numpy(), []
-        for i in range(0, len(texts), 256):
-            first = offsets[i : i + 257]
-            some = order[first[0] : first[-1]]
+        """Pieces are parted by spaces."""
+        if not len(texts):
+            return []
+        split = [self._split(texts.slice(i, 256)) for i in range(0, len(texts), 256)]
+        numbered = pa.chunked_array([s.values for s in split]).dictionary_encode().chunks  # one dictionary for all
+        indices, offsets, noted = [c.indices.to_numpy() for c in numbered], [s.offsets.to_numpy() for s in split], numbered[0].dictionary
+        del split, numbered
+        sizes, at, pool = self._ids_of(noted)
+        out = []
+        for some, first in zip(indices, offsets, strict=True):
             n = sizes[some]
-            ends = np.concatenate(([0], np.cumsum(n)))
-            got = pool[np.repeat(at[some] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
-            cuts = (ends[first - first[0]] * self.width).tolist()
+            cuts = (np.concatenate(([0], np.cumsum(n)))[first] * self.width).tolist()
+            got = _runs(pool, at[some], n).tobytes()
             out += [got[a:b] + self.end for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
     def _irregular(self, texts: list[str]) -> list[bytes]:
         split = [PIECES.findall(t) for t in texts]
         pieces = list(set().union(*split))
-        ids = dict(zip(pieces, self._ids_of(pieces), strict=True))
+        sizes, at, pool = self._ids_of(pa.array(["\x00" + p for p in pieces], pa.string()))
+        ids = {p: pool[a : a + n].tobytes() for p, a, n in zip(pieces, at.tolist(), sizes.tolist(), strict=True)}
         return [b"".join([ids[p] for p in found]) + self.end for found in split]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
