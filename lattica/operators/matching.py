@@ -18,8 +18,8 @@ def greedy_matches(iou: np.ndarray, least: float) -> list[tuple[int, int]]:
     left, out = np.ones(iou.shape[1], bool), []
     for i, row in enumerate(iou):
         free = np.where(left, row, -1.0)
-        if len(free) and free.max() >= least:
-            left[j := int(free.argmax())] = False
+        if len(free) and free[j := int(free.argmax())] >= least:
+            left[j] = False
             out.append((i, j))
     return out
 
@@ -57,6 +57,18 @@ def _small_pairs(starts: np.ndarray, f: np.ndarray, t: np.ndarray) -> tuple[np.n
     return of, starts[of] + k // t[of], starts[of] + f[of] + k % t[of]
 
 
+class _Overlaps:
+    """A matrix of the IoU of found and truth boxes of a large page that is only read row by row; some rows are held at once."""
+
+    def __init__(self, found: np.ndarray, truth: np.ndarray):
+        self.found, self.truth, self.shape = found, truth, (len(found), len(truth))
+
+    def __iter__(self):
+        step = max(1, (1 << 15) // len(self.truth))
+        for a in range(0, len(self.found), step):
+            yield from box_iou(self.found[a : a + step, None], self.truth)
+
+
 def _batch_matches(x: np.ndarray, starts: np.ndarray, f: np.ndarray, t: np.ndarray, least: float, method) -> list[tuple[np.ndarray, np.ndarray]]:
     """Found and truth rows of each match. Pairs of small groups are compared at once; ``method`` sees the groups where a row or column has a choice."""
     small = f * t <= 1024
@@ -71,7 +83,7 @@ def _batch_matches(x: np.ndarray, starts: np.ndarray, f: np.ndarray, t: np.ndarr
     for g, a, n, m in zip(np.flatnonzero(chosen), starts[small][chosen], f[small][chosen], t[small][chosen], strict=True):
         out += [(np.array([p[0] for p in pairs]) + a, np.array([p[1] for p in pairs]) + a + n) for pairs in [method(iou[ends[g] - n * m : ends[g]].reshape(n, m), least)] if pairs]
     for a, n, m in zip(starts[~small], f[~small], t[~small], strict=True):
-        pairs = method(np.array([box_iou(b, x[a + n : a + n + m]) for b in x[a : a + n]]).reshape(n, m), least)
+        pairs = method(_Overlaps(x[a : a + n], x[a + n : a + n + m]), least)
         out += [(np.array([p[0] for p in pairs]) + a, np.array([p[1] for p in pairs]) + a + n)] if pairs else []
     return out
 

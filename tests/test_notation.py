@@ -1,5 +1,6 @@
 import itertools
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -149,6 +150,20 @@ def test_matches_page_by_page(spark, pages, method):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("method", [matching.greedy_matches, matching.maximum_matches])
+def test_large_page_without_its_matrix(method):
+    """3,000 by 3,000 boxes: their IoU, 72 MB, is never held at once."""
+    x = np.random.default_rng(0).integers(0, 2000, (6000, 2)).astype(float)
+    x = np.hstack([x, x + 20])
+    tracemalloc.start()
+    got = matching._batch_matches(x, np.array([0]), np.array([3000]), np.array([3000]), 0.1, method)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs = sorted((int(i), int(j) - 3000) for a, b in got for i, j in zip(a, b, strict=True))
+    assert peak < 16 << 20, peak
+    assert pairs == sorted(method(np.array([clusters.box_iou(b, x[3000:]) for b in x[:3000]]), 0.1))
+
+
 @pytest.mark.parametrize("run", [
     lambda b: clusters.suppress(b, ["page"], "item", ["x1", "y1", "x2", "y2"], "score", 0.3),
     lambda b: matching.match_boxes(b.where("item % 2 = 0"), b.where("item % 2 = 1"), "page", "item", None, 0.1, matching.maximum_matches),
