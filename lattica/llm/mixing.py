@@ -122,6 +122,7 @@ def mix(docs: DataFrame, block: int = 1024, most: int = 3, seed: str = "mix", id
         .where("words > 0")
         .select("source_no", "block_no", "pass", "words")
     )
+    slots = scratch.save(slots, "slots")  # a row a block; else one plan of all would take the driver's memory
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = ranged.where("size > 0").select("at", "source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block_no"))
     begin = F.greatest(F.col("start") - F.col("block_no") * block, F.lit(0))

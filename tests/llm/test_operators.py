@@ -300,6 +300,13 @@ def test_mixing_tiny_sources(spark, sizes):
     assert sorted(r.r for r in slots) == [0, 1, 2]
 
 
+def test_mix_in_plans_of_their_own(spark):
+    """What the driver plans last joins saved tables; with the schedule in it, sf0.01 gave it 20 exchanges."""
+    got = mixing.mixed_rows(spark.createDataFrame(small_docs(), DOCS))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 9, plan
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
