@@ -128,7 +128,7 @@ def mix(docs: DataFrame, block: int = 1024, most: int = 3, seed: str = "mix", id
     begin = F.greatest(F.col("start") - F.col("block_no") * block, F.lit(0))
     end = F.least(F.col("start") + F.col("size") - F.col("block_no") * block, F.col("words"))
     taken = (
-        pieces.join(slots, ["source_no", "block_no"])
+        pieces.join(slots.hint("merge"), ["source_no", "block_no"])  # small as a file, not in memory
         .select("at", "pass", F.greatest(end - begin, F.lit(0)).alias("words"))
         .groupBy("at", "pass").agg(F.sum("words").alias("words"))
         .where("words > 0")
