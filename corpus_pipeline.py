@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from lattica.llm import decontaminate, jaccard_join, mixing, quality, token_files
-from lattica.llm.common import Scratch, table
+from lattica.llm.common import Scratch, forget, table
 
 
 def keep_quality(spark, docs, sf_dir):
@@ -55,4 +55,5 @@ def run(spark, sf_dir):
     for i, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage{i}")
         scratch.keep_only(f"stage{i}")
+        forget(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

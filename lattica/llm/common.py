@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,7 +59,8 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        # Without a marker of success: nobody waits for it, and each file made takes the driver a process where Hadoop has no native library.
+        df.write.mode("overwrite").option("compression", compression).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -73,6 +75,12 @@ class Scratch:
         self.drop(*[name for name in (f.getPath().getName() for f in found) if name not in names])
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets the driver drop plans, broadcasts and shuffles (with their files) of steps that are done; else they stay until its heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bound_arrow(spark: SparkSession) -> None:
     """Arrow batches of at most 2,000 rows or 16 MB, so that long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -33,8 +33,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int =
         scratch.drop(f"{name}{i - 1}")
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
-    roots = e.select(F.col("b").alias("a")).distinct().join(e.select("a").distinct(), "a", "left_anti")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("a").alias("node"), F.col("a").alias("root")))
+    # Of stars no centre is another's ray.
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _all_stars(e: DataFrame) -> bool:

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, map_batches, partitions
+from lattica.llm.common import Scratch, forget, map_batches, partitions
 from lattica.llm.components import components
 from lattica.llm.words import mixed, rolled, word_hashes
 
@@ -306,10 +306,10 @@ def compare(pairs: DataFrame, data: DataFrame, test) -> DataFrame:
     """The pairs (a, b) whose data pass the test. A centre's many partners are dealt to places by salt, each with the centre's data."""
     n = partitions(pairs)
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SET_ROWS).cast("int").alias("salts"))
-    others = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    others = others.join(data, others["b"] == data["id"]).select("a", "salt", "b", "data")
-    own = counts.join(data, counts["a"] == data["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "data")
-    rows = others.unionByName(own).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    others = pairs.join(counts, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    own = counts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
+    rows = others.unionByName(own).join(data, "id").select("a", "salt", "b", "data")  # one join, as the plan holds the data's own for each
+    rows = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return map_batches(rows, _comparing(test), "a long, b long")
 
 
@@ -336,21 +336,24 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = members.where("doc_id = class_id and n <= 64").groupBy("n").count()
     bound = choose_bound({r["n"]: r["count"] for r in sizes.collect()})
     # Copies whose set is a smaller id's stay out; where all rows are distinct this keeps every row.
-    copies = members.where("class_id is not null and doc_id <> class_id").select("doc_id", "t").distinct()
+    copies = members.where("class_id is not null and doc_id <> class_id").select("doc_id", "t")
     firsts = docs.where("doc_id is not null").join(_small(copies, broadcast_rows), ["doc_id", "t"], "left_anti").select("doc_id", "text")
     lists = map_batches(firsts, _listing(order, bound), "key long, salt int, at int, id long, n int")
     lists = scratch.save(map_batches(lists.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "at", "id"), _shared, _LISTED), "lists")
     order.destroy()  # of the driver's memory too
-    of = lambda ids: firsts.join(_small(ids.toDF("doc_id"), broadcast_rows), "doc_id", "left_semi")
+    forget(spark)
 
-    def both_ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        """The documents that pairs name, with all their texts: each is the document's."""
+        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        return docs.join(_small(ids, broadcast_rows, 2 * pairs.count()), "doc_id", "left_semi").select("doc_id", "text")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         """A bitmap bound, then exact on what that leaves."""
-        near = scratch.save(compare(pairs, map_batches(of(both_ends(pairs)), _outlines, "id long, data binary"), may_link), f"near-{name}")
-        found = scratch.save(compare(near, map_batches(of(both_ends(near)), _sets, "id long, data binary"), links), f"links-{name}")
+        near = scratch.save(compare(pairs, map_batches(ends_of(pairs), _outlines, "id long, data binary"), may_link), f"near-{name}")
+        found = scratch.save(compare(near, map_batches(ends_of(near), _sets, "id long, data binary"), links), f"links-{name}")
         scratch.drop(f"near-{name}")
+        forget(spark)
         return found
 
     # Rows of one id with several classes: the same document.
@@ -359,14 +362,15 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Each document with the centre that most of its lists name.
     named = lists.where("id <> c_id").where(_possible("", "c_")).groupBy(F.col("id").alias("b"), F.col("c_id").alias("a")).count()
     pairs = scratch.save(named.groupBy("b").agg(F.max_by("a", F.struct("count", F.negative("a"))).alias("a")).select("a", "b"), "centre-pairs")
-    found = scratch.save(own.unionByName(verify(pairs, "centres")), "found")
-    roots = scratch.save(components(found, scratch, "first-"), "roots")
+    found = verify(pairs, "centres")
+    roots = scratch.save(components(own.unionByName(found), scratch, "first-"), "roots")
     # Pairs of different components that their places allow, in lists that hold several.
     rooted = lists.select("key", "at", "id", "n").join(_small(roots, broadcast_rows), lists["id"] == roots["node"], "left").select("key", "at", "id", "n", F.coalesce("root", "id").alias("root"))
     heads = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("key", "least")
     least = "greatest(least, ceil(3 * n / 4))"
     left = scratch.save(rooted.join(heads, "key").where(f"at < 0 or n - at >= ceil(3 * (n + {least}) / 7)").drop("least"), "left")
     scratch.drop("lists", "centre-pairs", "links-centres")
+    forget(spark)
     x, y = left.alias("x"), left.alias("y")
     rest = x.join(y, F.expr("x.key = y.key and x.id < y.id and x.root <> y.root and " + _possible("x.", "y.")))
     rest = scratch.save(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "rest")
@@ -380,9 +384,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast behind a count of the rows (ids of 8 bytes); else a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _small(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    """Broadcast behind a count of the rows (ids of 8 bytes); else a shuffle. ``most``: a bound of that count, which may spare it."""
+    return F.broadcast(df) if most is not None and most <= rows or df.count() <= rows else df
 
 
 def _tied(roots: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import WORD_PATTERN, Scratch, partitions, prefix_sums
+from lattica.llm.common import WORD_PATTERN, Scratch, forget, partitions, prefix_sums
 
 GOLDEN = 0.6180339887498949
 CELLS = 4096  # grid on which points meet the sources' intervals
@@ -73,16 +73,19 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     needed, sources, highest = t.agg(F.coalesce(F.sum("need"), F.lit(0)), F.count("*"), F.coalesce(F.max("source_no"), F.lit(0))).first()
     one = Window.partitionBy(F.lit(0)).orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.sum("need").over(one)
-    ends = t.withColumn("hi", upto / F.lit(needed)).withColumn("lo", (upto - F.col("need")) / F.lit(needed))
-    cells = ends.select("source_no", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.col("hi") * CELLS))).alias("cell"))
+    scratch = Scratch(spark, "schedule")  # steps of their own: one plan would hold each of them up to six times
+    t = scratch.save(t.withColumn("hi", upto / F.lit(needed)).withColumn("lo", (upto - F.col("need")) / F.lit(needed)), "needs")
+    cells = t.select("source_no", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.col("hi") * CELLS))).alias("cell"))
     # A source of share p gets p * n + O(log n) of n slots.
     n = int(needed * 1.02) + 64 * (sources + 1)
     point = F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))
     slots = spark.range(0, n, 1, partitions(targets)).withColumn("u", point).withColumn("cell", F.floor(F.col("u") * CELLS))
     slots = slots.join(cells, "cell").where("u >= lo and u < hi").select("source_no", "id")
     ranked = prefix_sums(slots, [F.col("source_no")], F.floor(F.col("id") / 4096), [F.col("id")], {"r": F.lit(1).cast("long")})
+    ranked = scratch.save(ranked.select("source_no", "id", "r"), "ranked")
+    t = t.select("source_no", "need")
+    got = t.join(ranked.groupBy("source_no").agg(F.count("*").alias("got")), "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long")))
     ranked = ranked.join(t, "source_no").where("r < need").select("source_no", "id", "r")
-    got = t.join(slots.groupBy("source_no").agg(F.count("*").alias("got")), "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long")))
     missing = got.where("got < need").select("source_no", "got", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("r"))
     after = F.lit(n) + (F.col("r") - F.col("got")) * (highest + 1) + F.col("source_no")
     return ranked.unionByName(missing.select("source_no", after.cast("long").alias("id"), "r"))
@@ -123,6 +126,7 @@ def mix(docs: DataFrame, block: int = 1024, most: int = 3, seed: str = "mix", id
         .select("source_no", "block_no", "pass", "words")
     )
     slots = scratch.save(slots, "slots")  # a row a block; else one plan of all would take the driver's memory
+    forget(spark)
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = ranged.where("size > 0").select("at", "source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block_no"))
     begin = F.greatest(F.col("start") - F.col("block_no") * block, F.lit(0))

@@ -184,8 +184,8 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 2048) -> float:
         if width == 0 or lo + width == lo:
             return lo
         at = F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1))
-        rows = inside.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).orderBy(F.desc("bin")).collect()
-        for row in rows:
+        rows = inside.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect()
+        for row in sorted(rows, key=lambda row: -row["bin"]):  # at most ``bins`` rows
             if above + row["n"] >= k:
                 lo, hi = row["lo"], row["hi"]
                 break

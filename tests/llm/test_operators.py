@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 import pytest
 
 from lattica.llm import decontaminate, jaccard_join, mixing, neighbours, pii, quality, sharding, substring_dedup, token_files, url_filter
+from lattica.llm.common import Scratch
+from lattica.llm.components import components
 from lattica.llm.queries import ORACLE_SQL, QUERIES
 from lattica.llm.words import word_hashes
 from tests.oracle import compare
@@ -307,6 +309,35 @@ def test_mix_in_plans_of_their_own(spark):
     assert plan.count("Exchange ") <= 9, plan
 
 
+def test_schedule_in_plans_of_its_own(spark):
+    """One plan of the schedule held its windows and its slots up to six times."""
+    sized = spark.createDataFrame([("a", 100, 1, 300.0), ("b", 10**6, 2, 10.0**6)], "source string, source_size long, source_no int, target double")
+    plan = mixing.schedule(sized, 1024)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange ") <= 5, plan
+
+
+def test_comparing_reads_data_once(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 2)], "a long, b long")
+    data = spark.createDataFrame([(i, bytes([i])) for i in range(1, 5)], "id long, data binary")
+    got = jaccard_join.compare(pairs, jaccard_join.map_batches(data, lambda batches: batches, "id long, data binary"), lambda x, y: x[0] + y[0] != 4)
+    assert sorted((r.a, r.b) for r in got.collect()) == [(1, 2), (4, 2)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
+def test_components_of_stars_and_chains(spark):
+    edges = [(1, 2), (1, 3), (9, 7), (7, 5), (5, 11), (11, 12), (20, 21), (30, 31), (31, 30), (40, 40)]
+    got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "c")
+    want = {1: 1, 2: 1, 3: 1, 20: 20, 21: 20, 30: 30, 31: 30} | dict.fromkeys([5, 7, 9, 11, 12], 5)
+    assert sorted((r.node, r.root) for r in got.collect()) == sorted(want.items())
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_saved_tables_are_only_their_rows(spark):
+    scratch = Scratch(spark, "test")
+    assert scratch.save(spark.range(3), "t").count() == 3
+    assert not any(name.startswith("_") for name in os.listdir(scratch.path("t").removeprefix("file://")))
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
